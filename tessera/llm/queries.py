@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import mixing
+from tessera.llm import mixing, quality
 
 QUERIES: dict[str, Callable] = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op5_mixing": mixing.op5_mixing,
 }
 
