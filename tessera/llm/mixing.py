@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, n_words, read, text_of
+from tessera.llm.common import SPACE, n_words, read, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -96,7 +96,8 @@ def _draws(packed: DataFrame, aims: DataFrame, seed: int, block: int, shards: in
     """A row for each piece of a document (named by source, _start, doc_id, size) that a slot takes: epoch, _from, _to in words of the document."""
     parts = packed.where("size > 0").select("source", "_start", "doc_id", "size").withColumn("_block", F.explode(F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}"))))
     at = slots(aims, seed, block, shards).select(F.col("source").alias("_s"), "epoch", "index", "take")
-    met = parts.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("index")))
+    # slots come from an explode, whose size Spark guesses too low to choose a broadcast by
+    met = parts.join(at.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("index")))
     low = F.greatest(F.col("_start"), F.col("_block") * block)
     high = F.least(F.col("_start") + F.col("size"), F.col("_block") * block + F.col("take"))
     return met.select("source", "_start", "doc_id", "size", "epoch", (low - F.col("_start")).alias("_from"), (high - F.col("_start")).alias("_to")).where("_to > _from")
@@ -108,7 +109,7 @@ def _aims(sized: DataFrame, weights, share, cap) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
+    sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")
     aims = _aims(sized, weights, share, cap)
     packed = pack(sized, seed)
     met = _draws(packed, aims, seed, block, shards).select("source", "_start", "doc_id", "size", (F.col("_to") - F.col("_from")).alias("_w"))
