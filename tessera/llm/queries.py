@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import mixing, quality
+from tessera.llm import hosts, mixing, quality, simhash
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_url_filters": hosts.op3_url_filters,
+    "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": hosts.ORACLE_SQL}
