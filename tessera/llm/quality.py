@@ -137,10 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / known))
     # at most about `sample` rows: small enough for every executor
     met = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    stats = statistics(met).where(~base_failed())
+    stats = statistics(met)
     names = list(FEATURES)
-    rows = stats.select(F.array(*[FEATURES[k]() for k in names]).alias("_x"), (F.col("_row._q") == 0).cast("int").alias("_bad"), (F.pmod(F.xxhash64(F.lit("grow"), F.col("_row.doc_id")), F.lit(3)) > 0).alias("_grow"))
-    rows = written(rows.coalesce(8), "quality-sample").coalesce(2)
+    rows = stats.select(F.array(*[FEATURES[k]() for k in names]).alias("_x"), (F.col("_row._q") == 0).cast("int").alias("_bad"), (F.pmod(F.xxhash64(F.lit("grow"), F.col("_row.doc_id")), F.lit(3)) > 0).alias("_grow"), base_failed().alias("_base"))
+    # written before rows are dropped: Spark would push a filter on statistics below the join, to all documents
+    rows = written(rows, "quality-sample").where("not _base").coalesce(2)
     marks = [i / BINS for i in range(1, BINS)]
     cuts = rows.groupBy("_bad").agg(*[F.percentile_approx(F.col("_x")[i], marks).alias(k) for i, k in enumerate(names)]).collect()
     places = [sorted({x for r in cuts for x in r[k] or []}) for k in names]
