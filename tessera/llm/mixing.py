@@ -66,8 +66,10 @@ def pack(docs: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
 
 
 def _listed(df: DataFrame, n: Column, name: str, step: int = CHUNK) -> DataFrame:
-    """One row for each of 0 .. n-1, in two steps, so that no array is long."""
+    """One row for each of 0 .. n-1, in two steps, so that no array is long and the few rows at first don't list all in one task."""
     some = df.withColumn("_n", n).where("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {step}"))))
+    # the number is given, else adaptive execution puts these small rows, which grow to many, into one partition
+    some = some.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "_c")
     return some.withColumn(name, F.explode(F.sequence(F.col("_c") * step, F.least(F.col("_n"), (F.col("_c") + 1) * step) - 1))).drop("_n", "_c")
 
 
