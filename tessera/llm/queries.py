@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import hosts, mixing, quality, repeats, simhash
+from tessera.llm import hosts, mixing, quality, repeats, simhash, token_files
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_url_filters": hosts.op3_url_filters,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_token_files": token_files.op6_token_files,
     "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
 }
 
