@@ -3,8 +3,9 @@
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else. Strings meet in shards: every
 window of `length` bytes goes by its anchor, the smallest hash of the grams in it, so equal windows share an anchor.
 Windows that follow each other with one anchor form a run, whose bytes travel once. Anchors of which there is one run
-in the corpus can't repeat, and their bytes stay where they are. Runs of the same bytes are first collapsed to two
-places that stand for all. A shard holds the runs of some anchors; its suffixes are sorted by Larsson-Sadakane
+in the corpus can't repeat, and their bytes stay where they are. Runs of the same bytes (by two 64-bit hashes) are first
+collapsed to one place that stands for all, and repeat as a whole; where an anchor has different runs, their bytes
+meet. A shard holds the runs of some anchors; its suffixes are sorted by Larsson-Sadakane
 refinement, Kasai's pass gives common prefixes, and windows that share `length` bytes with a neighbour are repeats. An
 anchor with more than `SHARD_RUNS` different runs is cut into several shards, which are merged pair by pair: the
 windows of one are found in the sorted suffixes of the other by binary search.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, text_of, written
+from tessera.llm.common import read, written
 from tessera.llm.suffixes import PAD, common_prefixes, compare, eights, found_in, padded, suffix_array
 
 LENGTH = 400
@@ -116,7 +117,7 @@ def runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(keys[rows[which]]), pa.array(text_at.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(np.array(frag, np.uint64).view(np.int64))],
                     names=["_key", "start", "windows", "anchor", "frag"])
 
-    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "_key long, start int, windows int, anchor long, frag long")
+    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "_key long, start int, windows int, anchor long, frag long")
 
 
 def _spots(places: np.ndarray) -> list[list[int]]:
@@ -172,102 +173,98 @@ class Shard:
 
 
 def _matched(shards: DataFrame, length: int) -> DataFrame:
-    """(anchor, i, j, frag, copy, windows, bytes), grouped by (anchor, i, j) -> anchor, frag, spots: repeated windows of a run."""
+    """Rows of one (anchor, i, j) are one group. Gives anchor, frag, spots: repeated windows of runs that occur once."""
 
-    def single(rows: list[tuple]) -> Iterator[tuple]:
-        shard = Shard([r[6] for r in rows], np.array([r[5] for r in rows]), length)
-        for run, spots in shard.by_run(shard.repeats()):
-            if not rows[run][4]:
-                yield rows[run][0], rows[run][3], spots
+    def found(shard: Shard, rows: list[tuple], places: np.ndarray) -> Iterator[tuple]:
+        for run, stretches in shard.by_run(places):
+            if not rows[run][5]:
+                yield rows[run][0], rows[run][3], stretches
 
-    def pair(rows: list[tuple], i: int) -> Iterator[tuple]:
-        sides = [[r for r in rows if (r[7] == i) == left] for left in (True, False)]
-        if not all(sides):
-            return
-        a, b = (Shard([r[6] for r in side], np.array([r[5] for r in side]), length) for side in sides)
-        for side, shard, places in zip(sides, (a, b), a.met_by(b), strict=True):
-            for run, spots in shard.by_run(places):
-                if not side[run][4]:
-                    yield side[run][0], side[run][3], spots
+    def shard_of(rows: list[tuple]) -> Shard:
+        return Shard([r[7] for r in rows], np.array([r[6] for r in rows]), length)
+
+    def pair(rows: list[tuple]) -> Iterator[tuple]:
+        sides = [[r for r in rows if r[4] == k] for k in rows[0][1:3]]
+        if all(sides):
+            a, b = map(shard_of, sides)
+            for side, shard, places in zip(sides, (a, b), a.met_by(b), strict=True):
+                yield from found(shard, side, places)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        anchor, frag, stretches = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(frag, pa.int64()), pa.array(stretches, pa.list_(pa.int32()))], names=["anchor", "frag", "spots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole groups of one shard each
+        held: list[tuple] = []  # whole groups, each of one shard
         group: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            out = list(single(held)) if held else []
-            held, size = [], 0
-            if out:
-                yield batch_of(out)
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["anchor", "frag", "spots"])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal group, size
+        def made(final: bool) -> Iterator[pa.RecordBatch]:
+            """Closes the group; works off what is held once that is enough."""
+            nonlocal held, group, size
+            out: list[tuple] = []
             if group and group[0][1] == group[0][2]:
-                held.extend(group)
-                size += sum(len(r[6]) for r in group)
-                if size >= SHARD_BYTES:
-                    yield from flush()
-            elif group and (out := list(pair(group, group[0][1]))):
-                yield batch_of(out)
+                held += group
+                size += sum(len(r[7]) for r in group)
+            elif group:
+                out += pair(group)
+            if held and (final or size >= SHARD_BYTES):
+                shard = shard_of(held)
+                out += found(shard, held, shard.repeats())
+                held, size = [], 0
             group = []
+            if out:
+                yield batch_of(out)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][:3] != row[:3]:
-                    yield from close()
-                if not group or group[-1][:5] != row[:5]:  # a row that the corpus repeats as a whole comes more than once
+                    yield from made(False)
+                if not group or group[-1][:4] != row[:4]:  # a row that the corpus repeats as a whole comes more than once
                     group.append(row)
-        yield from close()
-        yield from flush()
+        yield from made(True)
 
-    dealt = shards.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "frag", "copy")
-    return dealt.select("anchor", "i", "j", "frag", "copy", "windows", "bytes", "sub").mapInArrow(run, "anchor long, frag long, spots array<int>")
+    dealt = shards.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "frag")
+    return dealt.select("anchor", "i", "j", "frag", "sub", "whole", "windows", "bytes").mapInArrow(run, "anchor long, frag long, spots array<int>")
 
 
 def _taken(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted: _key and a run's place and name; gives the runs with their bytes."""
-    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct("start", "windows", "anchor", "frag", "copy", "kinds")).alias("runs"))
+    names = ["anchor", "frag", "kinds", "whole", "windows", "bytes"]
+    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct("start", *names[:-1])).alias("_runs"))
+    columns = keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            size = 0
-            for text, places in zip(batch.column(0).cast(pa.binary()), batch.column(1), strict=True):
-                raw = text.as_py()
-                for r in places.as_py():
-                    piece = raw[r["start"] : r["start"] + r["windows"] + length - 1]
-                    for c, x in zip(out, (r["anchor"], r["frag"], r["copy"], r["kinds"], r["windows"], piece), strict=True):
-                        c.append(x)
-                    size += len(piece)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-                    out, size = [[] for _ in range(6)], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-
-    names, kinds = ["anchor", "frag", "copy", "kinds", "windows", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    return keyed.join(lists, "_key").select("text", "runs").mapInArrow(run, "anchor long, frag long, copy int, kinds long, windows int, bytes binary")
+            places = batch.column(len(columns))
+            row = np.repeat(np.arange(len(batch)), np.asarray(places.value_lengths()))
+            every = places.flatten()
+            raw = batch.column(columns.index("text")).cast(pa.binary()).to_pylist()
+            start, windows = (np.asarray(every.field(f)) for f in ("start", "windows"))
+            for k in range(0, len(row), 8192):
+                cut = slice(k, k + 8192)
+                pieces = [raw[r][a : a + w + length - 1] for r, a, w in zip(row[cut].tolist(), start[cut].tolist(), windows[cut].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(every.field(f).slice(k, 8192) for f in names[:-1]), pa.array(pieces, pa.binary())], names=names)
+
+    # all columns go in, so that this exchange of the texts is the one that the result uses again
+    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(run, "anchor long, frag long, kinds long, whole boolean, windows int, bytes binary")
 
 
 def spots(keyed: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_RUNS) -> DataFrame:
-    """(_key, text) -> _key, found: a list of (start, spots) for every key of which something repeats."""
+    """keyed (_key, text, ...) -> _key, found: a list of (start, spots) for every key of which something repeats."""
     every = written(runs(keyed, length), "runs")
-    place = F.struct("_key", "start")
-    kinds = every.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(place).alias("p0"), F.max(place).alias("p1"), F.first("windows").alias("windows"))
+    kinds = every.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(F.struct("_key", "start")).alias("p"), F.first("windows").alias("windows"))
     several = kinds.groupBy("anchor").agg(F.sum("n").alias("t"), F.count("*").alias("kinds")).where("t > 1").drop("t")
-    at = F.explode(F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("copy"), F.col("p0").alias("p")), F.struct(F.lit(1).alias("copy"), F.col("p1").alias("p")))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), F.col("p0").alias("p"))))).alias("at")
-    wanted = kinds.join(several, "anchor").select("anchor", "frag", "windows", "kinds", at).select(F.col("at.p._key").alias("_key"), F.col("at.p.start").alias("start"), "windows", "anchor", "frag", "at.copy", "kinds")
-    bytes_ = _taken(keyed, wanted, length)
+    met = kinds.join(several, "anchor").select("anchor", "frag", "windows", "kinds", (F.col("n") > 1).alias("whole"), "p._key", "p.start")
+    met = written(met, "run-kinds")
+    bytes_ = _taken(keyed, met.where("kinds > 1"), length)
     # an anchor with many runs has several shards: each run meets its own and, in pairs, every other one
     n = F.expr(f"cast((kinds + {shard_runs} - 1) div {shard_runs} as int)")
     subbed = bytes_.withColumn("sub", F.pmod(F.xxhash64("frag"), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    shards = subbed.select("anchor", F.least("sub", "_other").alias("i"), F.greatest("sub", "_other").alias("j"), "frag", "copy", "windows", "bytes", "sub")
-    met = _matched(shards, length)
-    return every.join(met, ["anchor", "frag"]).groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
+    shards = subbed.select("anchor", F.least("sub", "_other").alias("i"), F.greatest("sub", "_other").alias("j"), "frag", "sub", "whole", "windows", "bytes")
+    whole = met.where("whole").select("anchor", "frag", F.array(F.lit(0), F.col("windows")).alias("spots"))
+    out = every.join(whole.unionAll(_matched(shards, length)), ["anchor", "frag"])
+    return out.groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
 
 
 def _covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -291,8 +288,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
     """docs (all of columns, with text) with what repeats in each."""
     keyed = _keyed(docs.select(*columns))
-    found = spots(keyed.select("_key", text_of("text").alias("text")), length)
-    return keyed.join(found, "_key", "left")
+    return keyed.join(spots(keyed, length), "_key", "left")
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
