@@ -15,12 +15,16 @@ are written each; a null doc_id comes first; an empty table has no frames and gi
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +35,9 @@ BLOCK = 256
 PERCENTILE = 0.9
 END = 1
 #: Ids of a frame, about, and frames of a file at most.
-FRAME_IDS = 500_000
-FILE_FRAMES = 64
-#: Words whose ids a task keeps.
+FRAME_IDS = 300_000
+FILE_FRAMES = 8
+#: Pieces of words whose ids a task keeps.
 CACHED = 400_000
 HEAD = struct.Struct("<4sIQIQ")
 
@@ -129,32 +133,68 @@ def frames(data: memoryview, ids: bool = True) -> Iterator[tuple[np.ndarray, int
 
 
 class Encoder:
-    """Ids of texts, by the library's ids of their distinct white-space separated words.
+    """Ids of texts, from the ids of their distinct pieces, of which at most CACHED are kept.
 
-    The vocabulary's normalizer and pre-tokenizer treat white space as nothing but a border, so a text's ids are those
-    of its words, end to end.
+    A text of white space and visible characters below U+0250 is lower-cased and cut by the vocabulary's own pattern in
+    Arrow's string functions; each distinct piece goes to the library's model once. Any other text, or one that may
+    hold a special token, goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        steps = [x["type"] for x in kind["normalizer"]["normalizers"]]
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in kind["pre_tokenizer"]["pretokenizers"]] != ["Split", "ByteLevel"]:
+            raise ValueError("another kind of vocabulary")
+        self.pattern = kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # U+0130 lower-cases to two characters
+        self.other = "|".join(["[^\\x09-\\x0d -~\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]", *{"".join(f"\\x{{{ord(c):x}}}" for c in x["content"][:2]) for x in kind["added_tokens"]}])
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.model = self.library.model
+        # the byte-level alphabet: visible bytes stand for themselves, the others for characters from U+0100
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = array("I"), array("Q"), array("Q")
+
+    def new(self, piece: str) -> int:
+        k = self.known[piece] = len(self.starts)
+        ids = [x.id for x in self.model.tokenize(piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode())))]
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return k
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows, pieces, which = split(pc.replace_substring_regex(pc.utf8_lower(texts), self.pattern, r"\0 "))
+        if len(self.known) + len(pieces) > CACHED:
+            self.clear()
+        get = self.known.get
+        at = [k if (k := get(x)) is not None else self.new(x) for x in pieces.to_pylist()]
+        which = np.array(at, np.int64)[which] if at else which
+        starts, sizes = (np.array(x, np.int64)[which] for x in (self.starts, self.sizes))
+        return np.bincount(rows, sizes, len(texts)).astype(np.int64), np.array(self.flat, np.uint32)[ragged(starts, sizes)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, ids end to end)."""
-        rows, words, which = split(texts)
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, words
-        for w, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(x.ids, np.uint32)
-        each = [self.known[w] for w in words]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.empty(0, np.uint32)
-        take = size[which]
-        return np.bincount(rows, take, len(texts)).astype(np.int64), flat[ragged((np.cumsum(size) - size)[which], take)]
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, self.other))
+        n, flat = self.plain(texts.filter(pa.array(~odd)))
+        if not odd.any():
+            return n, flat
+        others = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        size, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        size[~odd], size[odd] = n, [len(x) for x in others]
+        every = np.concatenate([flat, *others])
+        place = np.cumsum(np.r_[0, n, size[odd]])
+        start[~odd], start[odd] = place[: len(n)], place[len(n) : -1]
+        return size, every[ragged(start, size)]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
@@ -172,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
 
         for batch in batches:
-            for part in parts(batch, 1, 1_000_000):
+            for part in parts(batch, 1, 2_000_000):
                 n, flat = encoder(part.column(1))
                 out = np.full(len(flat) + len(n), end, np.uint32)
                 out[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
