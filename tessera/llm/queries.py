@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import hosts, mixing, quality, repeats, simhash, token_files
+from tessera.llm import hosts, mixing, quality, repeats, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_token_files": token_files.op6_token_files,
     "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": hosts.ORACLE_SQL}
