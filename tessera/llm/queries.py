@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import hosts, mixing, quality, repeats, simhash, token_files, toxicity
+from tessera.llm import hosts, mixing, phrases, quality, repeats, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable] = {
     "op6_token_files": token_files.op6_token_files,
     "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_fingerprints": phrases.op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": hosts.ORACLE_SQL}
