@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import hosts, mixing, phrases, quality, repeats, simhash, token_files, toxicity
+from tessera.llm import hosts, mixing, phrases, quality, repeats, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_url_filters": hosts.op3_url_filters,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
