@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -315,26 +316,29 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with what repeats cut out of text; n_chars, where docs has it, is that of the new text."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def left(text: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, f in zip(text, found, strict=True):
-            cut = _covered(None if f is None else list(f), length)
-            if cut:
-                raw, at, parts = t.encode(), 0, []
-                for a, b in cut:
-                    parts.append(raw[at:a].decode(errors="ignore"))
-                    at = b
-                t = "".join([*parts, raw[at:].decode(errors="ignore")])
-            out.append(t)
-        return pd.Series(out, dtype=object)
+    """docs with what repeats cut out of text; n_chars, where docs has it, is that of a changed text."""
+    columns = docs.columns
+    at = columns.index("text")
+
+    def left(text: str, found: list[dict]) -> str:
+        raw, place, parts = text.encode(), 0, []
+        for a, b in _covered(found, length):
+            parts.append(raw[place:a].decode(errors="ignore"))
+            place = b
+        return "".join([*parts, raw[place:].decode(errors="ignore")])
 
-    met = _cut(docs, length, docs.columns).withColumn("_left", F.when(F.col("found").isNull(), F.col("text")).otherwise(left("text", "found")))
-    made = {"text": F.col("_left"), "n_chars": F.length("_left").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return met.select(*[made[c].alias(c) if made.get(c) is not None else F.col(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() if f is None else left(t.as_py(), f) for t, f in zip(batch.column(at), batch.column(len(columns)).to_pylist(), strict=True)]
+            out = list(batch.columns[:-1])
+            out[at] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                k = columns.index("n_chars")
+                changed = batch.column(len(columns)).is_valid()
+                out[k] = pc.if_else(changed, pc.utf8_length(out[at]).cast(out[k].type), out[k])
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(run, docs.schema)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

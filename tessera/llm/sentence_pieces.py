@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm.common import read
 from tessera.llm.pieces import segments, vocabulary
@@ -269,7 +270,7 @@ class Encoder:
 
 def encoded(docs: DataFrame, model: str, *keep: str) -> DataFrame:
     """keep..., n_tokens, ids, ids_crc32 (as little-endian unsigned 32-bit numbers), round_trip (decoding gives the text) for every row of docs."""
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", "array<int>").add("ids_crc32", "long").add("round_trip", "boolean")
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("ids_crc32", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
