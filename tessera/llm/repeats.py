@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read, written
 from tessera.llm.suffixes import PAD, common_prefixes, compare, eights, found_in, padded, suffix_array
+from tessera.llm.words import parts
+
 
 LENGTH = 400
 GRAM = 32
 #: Bytes that are scanned at once; places in a piece fit 20 bits.
 PIECE = 1 << 20
 #: Different runs of an anchor in one shard, and bytes of a shard that holds several anchors.
-SHARD_RUNS = 4096
-SHARD_BYTES = 2_000_000
+SHARD_RUNS = 2048
+SHARD_BYTES = 1_000_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -236,7 +238,7 @@ def _taken(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     columns = keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, columns.index("text"))):
             places = batch.column(len(columns))
             row = np.repeat(np.arange(len(batch)), np.asarray(places.value_lengths()))
             every = places.flatten()
@@ -321,14 +323,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at = columns.index("text")
 
     def left(text: str, found: list[dict]) -> str:
-        raw, place, parts = text.encode(), 0, []
+        raw, place, kept = text.encode(), 0, []
         for a, b in _covered(found, length):
-            parts.append(raw[place:a].decode(errors="ignore"))
+            kept.append(raw[place:a].decode(errors="ignore"))
             place = b
-        return "".join([*parts, raw[place:].decode(errors="ignore")])
+        return "".join([*kept, raw[place:].decode(errors="ignore")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             texts = [t.as_py() if f is None else left(t.as_py(), f) for t, f in zip(batch.column(at), batch.column(len(columns)).to_pylist(), strict=True)]
             out = list(batch.columns[:-1])
             out[at] = pa.array(texts, pa.string())

@@ -33,8 +33,8 @@ from tessera.llm.suffixes import compare, eights, padded, suffix_array
 from tessera.llm.words import parts, ragged
 
 #: Distinct segments whose ids a task keeps, and bytes of new ones that are indexed at once.
-CACHED = 700_000
-INDEXED = 600_000
+CACHED = 400_000
+INDEXED = 400_000
 NEVER = np.int64(1) << 40
 #: Bits of the table of pairs.
 TABLE = 20
