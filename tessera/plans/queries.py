@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("metrics", "fields", "windows", "sessions", "selection")
+MODULES = ("content", "metrics", "fields", "windows", "sessions", "selection", "retrieval")
 
 
 def catalogue() -> dict[str, tuple]:
