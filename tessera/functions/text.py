@@ -19,6 +19,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row even where lambdas in body use it again and again."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -96,21 +101,20 @@ def bm25_terms(text: str | Column) -> Column:
 
 def entropy(text: str | Column) -> Column:
     """Shannon entropy of a text's characters over the most that many different characters can have; 0 for fewer than two."""
-    t = _c(text)
-    chars = F.split(t, "")
-    kinds = F.array_distinct(chars)
-    total = F.size(chars)
-    share = F.transform(kinds, lambda c: F.size(F.filter(chars, lambda x: x == c)) / total)
-    bits = F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    top = F.log2(F.least(F.size(kinds), total).cast("double"))
-    return F.when(F.size(kinds) < 2, 0.0).otherwise(bits / top)
+
+    def of(chars: Column) -> Column:
+        kinds = F.array_distinct(chars)
+        share = F.transform(kinds, lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+        bits = F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+        return F.when(F.size(kinds) < 2, 0.0).otherwise(bits / F.log2(F.size(kinds).cast("double")))
+
+    return let(F.split(_c(text), ""), of)
 
 
 def shingles(tokens_: Column, k: int) -> Column:
     """Distinct runs of k words, joined by a space; all words as one where there are fewer."""
-    n = F.size(tokens_)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda i: F.array_join(F.slice(tokens_, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (k - 1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return F.when(F.size(tokens_) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(let(tokens_, runs)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("content", "metrics", "fields", "windows", "sessions", "selection", "retrieval")
+MODULES = ("content", "metrics", "fields", "windows", "sessions", "selection", "retrieval", "memory", "evals")
 
 
 def catalogue() -> dict[str, tuple]:
