@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import _c, count, parses_as_json
+from tessera.functions.text import _c, count, let, parses_as_json
 
 # Fixed patterns of the detectors.
 DIFF_HEADER = r"^(diff --git|diff --combined |diff --cc |--- a/|@@\s+-\d+,\d+\s+\+\d+,\d+\s+@@|@@@+\s+-\d+(?:,\d+)?\s+(?:-\d+(?:,\d+)?\s+)+\+\d+(?:,\d+)?\s+@@@+)"
@@ -76,40 +76,40 @@ def html_confidence(t: Column) -> Column:
 
 
 def search_confidence(t: Column) -> Column:
-    rows = lines(t, 100)
-    hits, full = _hits(rows, SEARCH_LINE), _full(rows)
-    ratio = F.try_divide(hits, full)
-    return F.when((hits > 0) & (ratio >= 0.3), F.least(F.lit(1.0), F.lit(0.4) + ratio * 0.6))
+    ratio = let(lines(t, 100), lambda rows: F.try_divide(_hits(rows, SEARCH_LINE), _full(rows)))
+    return let(ratio, lambda r: F.when((r > 0) & (r >= 0.3), F.least(F.lit(1.0), F.lit(0.4) + r * 0.6)))
 
 
 def log_confidence(t: Column) -> Column:
-    rows = lines(t, 200)
-    bad = _hits(rows, LOG_ERROR)
-    hits = F.size(F.filter(rows, lambda x: x.rlike(LOG_ERROR) | x.rlike(LOG_OTHER)))
-    ratio = F.try_divide(hits, _full(rows))
-    return F.when((hits > 0) & (ratio >= 0.1), F.least(F.lit(1.0), F.lit(0.3) + ratio * 0.5 + bad * 0.05))
+    seen = let(lines(t, 200), lambda rows: F.struct(_hits(rows, LOG_ERROR).alias("bad"), F.try_divide(F.size(F.filter(rows, lambda x: x.rlike(LOG_ERROR) | x.rlike(LOG_OTHER))), _full(rows)).alias("ratio")))
+    return let(seen, lambda s: F.when((s["ratio"] > 0) & (s["ratio"] >= 0.1), F.least(F.lit(1.0), F.lit(0.3) + s["ratio"] * 0.5 + s["bad"] * 0.05)))
 
 
 def tabular_confidence(t: Column) -> Column:
     """Markdown tables, or lines with the same number of a delimiter that don't read like prose."""
-    rows = F.slice(F.filter(lines(t), lambda x: F.trim(x) != ""), 1, 50)
     separator = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
-    markdown = F.exists(F.transform(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x, i: x.contains("|") & F.get(rows, i + 1).rlike(separator)), lambda b: b)
-    sample = F.slice(rows, 1, 20)
-    n = F.size(sample)
-    found = []
-    for delim, least in ((",", 0.85), ("\t", 0.7), (";", 0.85), ("|", 0.85)):
-        counts = counts_of(sample, delim)
-        # the most common count, the first of equals
-        times = F.transform(F.array_distinct(counts), lambda c: F.struct(F.size(F.filter(counts, lambda x: x == c)).alias("n"), (-F.array_position(counts, c)).alias("first"), c.alias("c")))
-        best = F.array_max(times)
-        share = best["n"] / n
-        enders = F.size(F.filter(sample, lambda x: F.rtrim(x).rlike(r"[.!?]$"))) / n
-        cells = F.aggregate(counts, F.lit(0), lambda a, x: a + x) + n
-        wordy = F.aggregate(F.transform(sample, lambda x: count(F.translate(x, delim, " "), r"\S+")), F.lit(0), lambda a, x: a + x) / cells
-        good = (n >= 3) & (F.get(counts, F.lit(0)) > 0) & (best["c"] > 0) & (share >= least) & (enders < 0.5) & (wordy <= 3)
-        found.append(F.when(good, F.least(F.lit(0.95), F.lit(0.5) + share * 0.3 + F.least(best["c"] + 1, F.lit(5)) * 0.03)))
-    return F.when(F.size(rows) < 3, None).when(markdown, 0.95).otherwise(F.greatest(*found))
+
+    def delimited(sample: Column, delim: str, least: float) -> Column:
+        n = F.size(sample)
+
+        def of(counts: Column) -> Column:
+            # the most common count, the first of equals
+            times = F.transform(F.array_distinct(counts), lambda c: F.struct(F.size(F.filter(counts, lambda x: x == c)).alias("n"), (-F.array_position(counts, c)).alias("first"), c.alias("c")))
+            enders = F.size(F.filter(sample, lambda x: F.rtrim(x).rlike(r"[.!?]$"))) / n
+            cells = F.aggregate(counts, F.lit(0), lambda a, x: a + x) + n
+            wordy = F.aggregate(F.transform(sample, lambda x: count(F.translate(x, delim, " "), r"\S+")), F.lit(0), lambda a, x: a + x) / cells
+            return let(F.array_max(times), lambda best: F.when(
+                (n >= 3) & (F.get(counts, F.lit(0)) > 0) & (best["c"] > 0) & (best["n"] / n >= least) & (enders < 0.5) & (wordy <= 3),
+                F.least(F.lit(0.95), F.lit(0.5) + best["n"] / n * 0.3 + F.least(best["c"] + 1, F.lit(5)) * 0.03)))
+
+        return let(counts_of(sample, delim), of)
+
+    def of(rows: Column) -> Column:
+        markdown = F.exists(F.transform(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), lambda x, i: x.contains("|") & F.get(rows, i + 1).rlike(separator)), lambda b: b)
+        found = let(F.slice(rows, 1, 20), lambda sample: F.greatest(*[delimited(sample, d, least) for d, least in ((",", 0.85), ("\t", 0.7), (";", 0.85), ("|", 0.85))]))
+        return F.when(F.size(rows) < 3, None).when(markdown, 0.95).otherwise(found)
+
+    return let(F.slice(F.filter(lines(t), lambda x: F.trim(x) != ""), 1, 50), of)
 
 
 def counts_of(rows: Column, delim: str) -> Column:
@@ -131,8 +131,16 @@ def content_type(text: str | Column) -> Column:
     """Struct (type, confidence): the first of JSON, diff, HTML, search results, log, table and code that is sure enough, else text."""
     t = F.coalesce(_c(text), F.lit(""))
     chain = (("json_array", json_confidence(t), 0.0), ("diff", diff_confidence(t), 0.7), ("html", html_confidence(t), 0.7), ("search", search_confidence(t), 0.6), ("log", log_confidence(t), 0.5), ("tabular", tabular_confidence(t), 0.6), ("code", code_confidence(t), 0.5))
-    found = [F.when(c >= least, F.struct(F.lit(kind).alias("type"), c.cast("double").alias("confidence"))) for kind, c, least in chain]
-    return F.when(F.trim(t) == "", F.struct(F.lit("text").alias("type"), F.lit(0.0).alias("confidence"))).otherwise(F.coalesce(*found, F.struct(F.lit("text").alias("type"), F.lit(0.5).alias("confidence"))))
+    # each test only runs where those before it were not sure
+    plain = F.struct(F.lit("text").alias("type"), F.lit(0.5).alias("confidence"))
+    out = plain
+    for kind, c, least in reversed(chain):
+        out = _first(kind, c, least, out)
+    return F.when(F.trim(t) == "", F.struct(F.lit("text").alias("type"), F.lit(0.0).alias("confidence"))).otherwise(out)
+
+
+def _first(kind: str, confidence: Column, least: float, rest: Column) -> Column:
+    return let(confidence.cast("double"), lambda c: F.when(c >= least, F.struct(F.lit(kind).alias("type"), c.alias("confidence"))).otherwise(rest))
 
 
 def is_mixed(text: str | Column) -> Column:

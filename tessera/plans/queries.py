@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("content", "metrics", "fields", "windows", "sessions", "selection", "retrieval", "memory", "evals")
+MODULES = ("operators.content", "operators.metrics", "operators.fields", "operators.windows", "operators.sessions", "operators.selection", "operators.retrieval", "operators.memory", "operators.evals", "operators.compressors", "streaming.events")
 
 
 def catalogue() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
     for name in MODULES:
-        for key, pair in import_module(f"tessera.operators.{name}").QUERIES.items():
+        for key, pair in import_module(f"tessera.{name}").QUERIES.items():
             if key in out:
                 raise ValueError(f"two queries are called {key}")
             out[key] = pair
