@@ -55,3 +55,9 @@ def n_words(c: str | Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row even where body's lambdas use it many times."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+def plain_names(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but `keep` under a name that no operator uses inside; and how to select the old names again."""
+    names = {c: c if c in keep else f"_column{k}_" for k, c in enumerate(docs.columns)}
+    return docs.select(*[docs[c].alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]

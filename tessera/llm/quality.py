@@ -107,7 +107,8 @@ def _gain(p: int, n: int, P: int, N: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(P / (P + N))) if p and P else 0.0
 
 
-def _grow(rows: DataFrame, n_features: int, n_places: list[int]) -> list[tuple[int, str, int]]:
+def _grow(rows: DataFrame, places: list[list[float]], barred: set[int]) -> list[tuple[int, str, int]]:
+    """The conditions of most gain; of equal ones that whose threshold lies in the widest gap between thresholds."""
     rule: list[tuple[int, str, int]] = []
     while len(rule) < MAX_CONDITIONS:
         got = rows.where(_all(rule)).select("_bad", F.posexplode("_bins").alias("f", "b")).groupBy("f", "b").agg(F.sum("_bad").alias("p"), F.count("*").alias("n")).collect()
@@ -115,13 +116,14 @@ def _grow(rows: DataFrame, n_features: int, n_places: list[int]) -> list[tuple[i
         P, N = (sum(v[i] for (f, _), v in counts.items() if f == 0) for i in (0, 1))
         if not P or not N:
             break
-        best, chosen = 1e-9, None
-        for f in range(n_features):
+        best, chosen = (1e-9, 0.0), None
+        for f, marks in enumerate(places):
             p = n = 0
-            for b in range(n_places[f]):
+            for b in range(len(marks) if f not in barred else 0):
                 p, n = p + counts.get((f, b), (0, 0))[0], n + counts.get((f, b), (0, 0))[1]
+                gap = (marks[min(b + 1, len(marks) - 1)] - marks[b]) / ((marks[-1] - marks[0]) or 1.0)
                 for side, x, y in (("<=", p, n), (">", P - p, N - n)):
-                    if (g := _gain(x, y, P, N)) > best:
+                    if (g := (round(_gain(x, y, P, N), 9), gap)) > best:
                         best, chosen = g, (f, side, b)
         if chosen is None:
             break
@@ -150,8 +152,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list
     bins = F.array(*[_passed(F.col("_x")[i], p) for i, p in enumerate(places)])
     left = rows.select("_bad", "_grow", bins.alias("_bins"))
     found: list[list[tuple[int, str, int]]] = []
+    barred: set[int] = set()  # features whose rule turned out not to be precise
     while len(found) < MAX_RULES:
-        rule = _grow(left.where("_grow"), len(names), [len(p) for p in places])
+        rule = _grow(left.where("_grow"), places, barred)
         if not rule:
             break
         heads = [rule[: k + 1] for k in range(len(rule))]
@@ -161,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list
         k = max(range(len(heads)), key=lambda k: (worth(k), -k)) if count(f"p{len(heads) - 1}", True) else len(heads) - 1
         p, n = count(f"p{k}", None), count(f"n{k}", None)
         if p < SUPPORT or p < PRECISION * (p + n):
-            break
+            barred.add(rule[0][0])
+            continue
         found.append(heads[k])
         left = left.where(~_all(heads[k]))
     return [[(names[f], side, places[f][b]) for f, side, b in rule] for rule in found]

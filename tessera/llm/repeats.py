@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, written
+from tessera.llm.common import plain_names, read, written
 from tessera.llm.suffixes import PAD, common_prefixes, compare, eights, found_in, padded, suffix_array
 from tessera.llm.words import parts
 
@@ -319,6 +319,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with what repeats cut out of text; n_chars, where docs has it, is that of a changed text."""
+    docs, old_names = plain_names(docs, "doc_id", "text", "n_chars")
     columns = docs.columns
     at = columns.index("text")
 
@@ -340,7 +341,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out[k] = pc.if_else(changed, pc.utf8_length(out[at]).cast(out[k].type), out[k])
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(run, docs.schema)
+    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(run, docs.schema).select(*old_names)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

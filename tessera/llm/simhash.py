@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, written
+from tessera.llm.common import plain_names, read, written
 from tessera.llm.graph import components
 
 SHINGLE = 3
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle:
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The rows of docs, of each component only the first by doc_id."""
+    docs, old_names = plain_names(docs, "doc_id", "text")
     marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     groups = near_duplicates(marked, "_key")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_key"))).alias("f"))
@@ -229,7 +230,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     stay = stay.join(times, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key"))).select("_d", "_k", "_n")
     met = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     once, more = met.where("_n = 1"), met.where("_n > 1").dropDuplicates(["doc_id", "_key"])
-    return once.unionAll(more).select(*docs.columns)
+    return once.unionAll(more).select(*old_names)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

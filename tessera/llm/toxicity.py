@@ -74,7 +74,7 @@ def sentences(texts: pa.Array) -> Sentences:
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.where(z == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
