@@ -17,15 +17,15 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.functions import detect as D
 from tessera.functions import text as T
 from tessera.sources.stores import evict, put, status, stored
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 # Fixed values of the log, search, diff and prose compressors, and of the crusher.
 LOG = {"passthrough": 50, "errors": 10, "traces": 3, "trace_lines": 20, "warnings": 5, "context": 3, "total": 100}
@@ -432,6 +432,31 @@ KERNELS: dict[str, Callable[[str, str], tuple[str, str]]] = {
 }
 
 
+RESULT = StructType([StructField(n, t) for n, t in (("compressed", StringType()), ("strategy", StringType()), ("tokens_before", LongType()), ("tokens_after", LongType()), ("key", StringType()))])
+_CODE, _DENSE = re.compile(T.CODE_MARK), re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), T.DENSE))
+
+
+def estimate(text: str | None) -> int:
+    """functions.text.tokens of one text."""
+    if not text:
+        return 0
+    dense, ratio = len(_DENSE.findall(text)), T.CHARS_PER_TOKEN
+    if re.match(r"\s*[\[{]", text) and _parses(text):
+        ratio = T.CHARS_PER_TOKEN_JSON
+    elif len(_CODE.findall(text)) > len(text) / 500:
+        ratio = T.CHARS_PER_TOKEN_CODE
+    extra = sum(len(re.findall("[/?&]", u)) for u in re.findall(T.URL, text, re.A)) + 2 * len(re.findall(T.UUID, text))
+    return max(1, int((len(text) - dense) / ratio + dense / T.CHARS_PER_TOKEN_DENSE + 0.5) + extra)
+
+
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def compressed(payloads: DataFrame, text: str = "text", query: str | None = None) -> DataFrame:
     """Adds type, strategy, compressed, tokens before and after, and key: the payload's kind decides the compressor.
 
@@ -440,22 +465,28 @@ def compressed(payloads: DataFrame, text: str = "text", query: str | None = None
     """
     kind = payloads.withColumn("type", D.content_type(text)["type"])
 
-    @F.pandas_udf("compressed string, strategy string")
-    def run(texts: pd.Series, types: pd.Series, queries: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, k, q in zip(texts, types, queries, strict=True):
-            try:
-                out, how = KERNELS[k](t, q or "") if t else (t, "passthrough")
-            except (ValueError, RecursionError, AssertionError):
-                out, how = t, "passthrough:failed"
-            rows.append((out, how) if out is not None and t is not None and len(out) < len(t) else (t, "passthrough"))
-        return pd.DataFrame(rows, columns=["compressed", "strategy"])
+    columns = kind.columns
+    at = columns.index(text)
+
+    def one(t: str | None, k: str, q: str | None) -> tuple:
+        before = estimate(t)
+        try:
+            out, how = KERNELS[k](t, q or "") if t else (t, "passthrough")
+        except (ValueError, RecursionError, AssertionError):
+            out, how = t, "passthrough:failed"
+        after = estimate(out) if t else before
+        if after >= before:
+            return t, how if how.startswith("passthrough") else "passthrough", before, before, None
+        return out, how, before, after, key_of(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            rows = [one(t, k, q) for t, k, q in zip(batch.column(at).to_pylist(), batch.column(len(columns) - 1).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*columns, *RESULT.names])
 
-    out = kind.withColumn("_c", run(F.col(text), F.col("type"), F.col(query) if query else F.lit("")))
-    out = out.withColumn("compressed", F.col("_c.compressed")).withColumn("strategy", F.col("_c.strategy")).drop("_c")
-    before, after = T.tokens(text), T.tokens("compressed")
-    worse = after >= before
-    return out.withColumn("tokens_before", before).withColumn("tokens_after", F.least(before, after)).withColumn("compressed", F.when(worse, F.col(text)).otherwise(F.col("compressed"))).withColumn("key", F.when(~worse, T.content_key(text)))
+    return kind.select(*columns, (F.col(query) if query else F.lit("")).alias("_query")).mapInArrow(run, StructType([*kind.schema, *RESULT]))
 
 
 def store_of(compressed_: DataFrame, text: str = "text") -> DataFrame:
@@ -480,7 +511,7 @@ def _payloads(s, d) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return spread(out)
 
 
 def _round_trip(done: DataFrame) -> DataFrame:

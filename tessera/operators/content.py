@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import detect as D
 from tessera.functions import text as T
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def profile(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -46,7 +46,7 @@ def sql_tokens(x: str) -> str:
 _LINES = "(select concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', upper(event_type), ' user=', user_id) as line, * from events)"
 
 QUERIES = {
-    "content_profile": (lambda s, d: profile(table(s, d, "documents"), ["lang", "source"]).select("lang", "source", "n", "tokens"), f"select lang, source, count(*) as n, cast(sum({sql_tokens('text')}) as bigint) as tokens from documents group by 1, 2"),
+    "content_profile": (lambda s, d: profile(spread(table(s, d, "documents")), ["lang", "source"]).select("lang", "source", "n", "tokens"), f"select lang, source, count(*) as n, cast(sum({sql_tokens('text')}) as bigint) as tokens from documents group by 1, 2"),
     "page_types": (lambda s, d: table(s, d, "pages").select(D.content_type("html").alias("c")).groupBy("c.type").agg(F.count("*").alias("n"), F.round(F.min("c.confidence"), 6).alias("low")), "select 'html' as type, count(*) as n, round(min(least(1.0::double, 0.5::double + 0.3 * cast(regexp_matches(h, '(?i)<html[\\s>]') as integer) + 0.1 * cast(regexp_matches(h, '(?i)<head[\\s>]') as integer) + 0.1 * cast(regexp_matches(h, '(?i)<body[\\s>]') as integer) + least(0.3::double, 0.03::double * len(regexp_extract_all(h, '(?i)<(div|span|script|style|link|meta|nav|header|footer|aside|article|section|main)[\\s>]'))))), 6) as low from (select substr(html, 1, 3000) as h from pages)"),
     "html_waste": (lambda s, d: table(s, d, "pages").select("page_id", T.waste("html")["html"].alias("tokens")), "select page_id, case when length(w) = 0 then 0 else " + sql_tokens("w")[1:-1].split("then 0 else ", 1)[1].rsplit(" end", 1)[0] + " end as tokens from (select page_id, array_to_string(list_concat(regexp_extract_all(html, '<[^>]+>'), regexp_extract_all(html, '<!--[\\s\\S]*?-->')), '') as w from pages)"),
     "whitespace_runs": (lambda s, d: table(s, d, "documents").select("doc_id", T.count(F.col("text"), T.BLANKS).alias("runs"), T.waste("text")["base64"].alias("base64")).where("runs > 0 or base64 > 0").select("doc_id", F.col("runs").cast("long").alias("runs")), "select doc_id, len(regexp_extract_all(text, '[ \\t]{4,}|\\n{3,}')) as runs from documents where len(regexp_extract_all(text, '[ \\t]{4,}|\\n{3,}')) > 0 or len(regexp_extract_all(text, '[A-Za-z0-9+/]{50,}={0,2}')) > 0"),

@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import all_of, let, tokens_simple, words
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 FACTS = r"https?://\S+|[A-Za-z_./-]+\.[A-Za-z]{1,4}\b|[0-9a-f]{8,}|\b\d[\d.,]*\d\b"
 
@@ -39,7 +40,7 @@ def fact_recall(original: Column, kept: Column) -> Column:
     return F.struct(F.size(facts).alias("facts"), F.size(F.filter(facts, lambda f: F.contains(kept, f))).alias("found"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F of the longest common subsequence of two texts' words."""
 
@@ -58,7 +59,7 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bleu(a: pd.Series, b: pd.Series) -> pd.Series:
     """Geometric mean of the clipped shares of a's 1- to 4-word runs that b holds, less a penalty for being shorter."""
 
@@ -95,7 +96,7 @@ _PAIR = "(select doc_id, lower(left(text, 600)) as a, lower(left(text, 400)) as
 
 
 def _pairs(s, d) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "lang", F.lower(F.left("text", F.lit(600))).alias("a"), F.lower(F.left("text", F.lit(400))).alias("b"))
+    return spread(table(s, d, "documents")).select("doc_id", "lang", F.lower(F.left("text", F.lit(600))).alias("a"), F.lower(F.left("text", F.lit(400))).alias("b"))
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.detect import query_alpha
 from tessera.functions.text import bm25_terms
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 # Saturation, length weight, raw score that counts as 1, bonus and length of long matches.
 K1, B, TOP_RAW, BONUS, LONG = 1.5, 0.75, 10.0, 0.3, 8
@@ -108,7 +108,7 @@ select item_id, doc_id, sum(ln((n - df + 0.5::double) / (df + 0.5::double) + 1)
 
 
 QUERIES = {
-    "bm25_top": (lambda s, d: top(bm25(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text").withColumn("r", F.round("raw", 6)), "item_id", "r", "doc_id", 5).select("item_id", "doc_id", F.round("raw", 4).alias("raw"), F.round("score", 4).alias("score"), "place"), f"select item_id, doc_id, round(raw, 4) as raw, round(least(1.0::double, least(1.0::double, raw / 10) + l * 0.3::double), 4) as score, cast(place as integer) as place from (select *, row_number() over (partition by item_id order by round(raw, 6) desc, doc_id) as place from {_sql_bm25()}) where place <= 5"),
+    "bm25_top": (lambda s, d: top(bm25(spread(table(s, d, "documents")), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text").withColumn("r", F.round("raw", 6)), "item_id", "r", "doc_id", 5).select("item_id", "doc_id", F.round("raw", 4).alias("raw"), F.round("score", 4).alias("score"), "place"), f"select item_id, doc_id, round(raw, 4) as raw, round(least(1.0::double, least(1.0::double, raw / 10) + l * 0.3::double), 4) as score, cast(place as integer) as place from (select *, row_number() over (partition by item_id order by round(raw, 6) desc, doc_id) as place from {_sql_bm25()}) where place <= 5"),
     "cosine_top": (lambda s, d: nearest(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q", "qv", 10).select("q", "vec_id", F.round("score", 6).alias("score"), "place"), "select q, vec_id, round(score, 6) as score, cast(place as integer) as place from (select a.vec_id as q, b.vec_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as score, row_number() over (partition by a.vec_id order by list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) desc, b.vec_id) as place from embeddings a, embeddings b where a.vec_id % 20 = 0) where place <= 10"),
     "semantic_cache": (lambda s, d: cache_hits(table(s, d, "embeddings").where("vec_id % 2 = 1"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q", "qv", 0.3).select("q", "vec_id"), "with p as (select a.vec_id as q, b.vec_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as c from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id % 2 = 1), t as (select q, vec_id from p where c >= 0.3 qualify row_number() over (partition by q order by c desc, vec_id) = 1) select e.vec_id as q, t.vec_id from embeddings e left join t on e.vec_id = t.q where e.vec_id % 20 = 0"),
     "hybrid_alpha": (lambda s, d: table(s, d, "events").select(query_alpha(F.concat(F.lit("find "), F.col("user_id").cast("string"), F.lit(" and "), F.col("event_id").cast("string"))).alias("alpha")).groupBy("alpha").agg(F.count("*").alias("n")), "select cast(case when a + b >= 2 then 0.75 when a + b = 1 then 0.65 else 0.5 end as double) as alpha, count(*) as n from (select case when user_id >= 1000 then 1 else 0 end as a, case when event_id >= 1000 then 1 else 0 end as b from events) group by 1"),

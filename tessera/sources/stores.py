@@ -38,7 +38,7 @@ def append(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None
 
 def read_ledger(spark: SparkSession, path: str, as_of: str, retention_days: int = 365) -> DataFrame:
     """Events of a JSON-lines ledger within retention; lines that don't parse are left out."""
-    rows = spark.read.schema(LEDGER.add("_bad", T.StringType())).option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("_bad", T.StringType())])).option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where(F.col("_bad").isNull() & F.col("ts").isNotNull() & (F.col("ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {retention_days} days"))).drop("_bad")
 
 
@@ -89,7 +89,7 @@ def scan_perf_log(spark: SparkSession, path: str, as_of: str, hours: int = 168)
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Sections of Markdown files: (file, title, body), one memory each."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     parts = whole.select("file", F.explode(F.filter(F.split("value", r"(?m)^#{1,3} "), lambda x: F.trim(x) != "")).alias("s"))
     return parts.select("file", F.trim(F.substring_index("s", "\n", 1)).alias("title"), F.trim(F.expr("substr(s, length(substring_index(s, '\n', 1)) + 1)")).alias("body"))
 

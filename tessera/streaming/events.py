@@ -42,7 +42,7 @@ def evidence(events: DataFrame, least: int) -> DataFrame:
 def prefix_state(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
     """(user_id, seen, hits): for each user how many events came, and how many had the properties of the one before.
 
-    State is one small tuple per user, dropped when nothing came for ttl_ms.
+    State is one small tuple per user, dropped when event time has passed its last event by ttl_ms.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,14 +50,16 @@ def prefix_state(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             return
         last, seen, hits = state.get if state.exists else ("", 0, 0)
+        latest = 0
         for batch in batches:
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
             for props in batch.sort_values(["ts", "event_id"])["props"]:
                 seen, hits, last = seen + 1, hits + (props == last and seen > 0), props
         state.update((last, seen, hits))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "hits": [hits]})
 
-    return events.select("user_id", "ts", "event_id", "props").groupBy("user_id").applyInPandasWithState(step, "user_id long, seen long, hits long", "last string, seen long, hits long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", LATE).select("user_id", "ts", "event_id", "props").groupBy("user_id").applyInPandasWithState(step, "user_id long, seen long, hits long", "last string, seen long, hits long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def finished(stream: DataFrame, mode: str, then: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def finished(stream: DataFrame, mode: str, then: Callable[[DataFrame, str], None
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 _WIN = "(select *, cast(floor(value) as bigint) as v from events)"
