@@ -91,7 +91,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Sections of Markdown files: (file, title, body), one memory each."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     parts = whole.select("file", F.explode(F.filter(F.split("value", r"(?m)^#{1,3} "), lambda x: F.trim(x) != "")).alias("s"))
-    return parts.select("file", F.trim(F.substring_index("s", "\n", 1)).alias("title"), F.trim(F.expr("substr(s, length(substring_index(s, '\n', 1)) + 1)")).alias("body"))
+    blank = F.lit(" \t\r\n")
+    return parts.select("file", F.btrim(F.substring_index("s", "\n", 1), blank).alias("title"), F.btrim(F.regexp_replace("s", "^[^\n]*", ""), blank).alias("body"))
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
