@@ -21,6 +21,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ END = 1
 #: Ids of a frame, about, and frames of a file at most.
 FRAME_IDS = 300_000
 FILE_FRAMES = 8
-#: Pieces of words whose ids a task keeps.
-CACHED = 400_000
+#: Pieces of words whose ids a worker keeps.
+CACHED = 250_000
 HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -197,11 +198,17 @@ class Encoder:
         return size, every[ragged(start, size)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
     """Files of the ids of docs (doc_id, text), each document's followed by end, in ascending doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         names: list = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
