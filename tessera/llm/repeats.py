@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import plain_names, read, written
 from tessera.llm.suffixes import PAD, common_prefixes, compare, eights, found_in, padded, suffix_array
-from tessera.llm.words import parts
+from tessera.llm.words import lean, parts
 
 
 LENGTH = 400
 GRAM = 32
 #: Bytes that are scanned at once; places in a piece fit 20 bits.
-PIECE = 1 << 20
+PIECE = 1 << 19
+PLACES = (1 << 20) - 1
 #: Different runs of an anchor in one shard, and bytes of a shard that holds several anchors.
 SHARD_RUNS = 2048
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -72,7 +73,7 @@ def runs_of(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     words = eights(np.concatenate([piece, np.zeros(PAD, np.uint8)]), False)
     h = grams(words)
-    low = np.uint64(PIECE - 1)
+    low = np.uint64(PLACES)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
     edge = np.zeros(len(least) + 1, np.int32)
     np.add.at(edge, starts[fits], 1)
@@ -120,7 +121,7 @@ def runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(keys[rows[which]]), pa.array(text_at.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(np.array(frag, np.uint64).view(np.int64))],
                     names=["_key", "start", "windows", "anchor", "frag"])
 
-    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "_key long, start int, windows int, anchor long, frag long")
+    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(lean(run), "_key long, start int, windows int, anchor long, frag long")
 
 
 def _spots(places: np.ndarray) -> list[list[int]]:
@@ -228,7 +229,7 @@ def _matched(shards: DataFrame, length: int) -> DataFrame:
         yield from made(True)
 
     dealt = shards.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "frag")
-    return dealt.select("anchor", "i", "j", "frag", "sub", "whole", "windows", "bytes").mapInArrow(run, "anchor long, frag long, spots array<int>")
+    return dealt.select("anchor", "i", "j", "frag", "sub", "whole", "windows", "bytes").mapInArrow(lean(run), "anchor long, frag long, spots array<int>")
 
 
 def _taken(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -250,7 +251,7 @@ def _taken(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(every.field(f).slice(k, 8192) for f in names[:-1]), pa.array(pieces, pa.binary())], names=names)
 
     # all columns go in, so that this exchange of the texts is the one that the result uses again
-    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(run, "anchor long, frag long, kinds long, whole boolean, windows int, bytes binary")
+    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(lean(run), "anchor long, frag long, kinds long, whole boolean, windows int, bytes binary")
 
 
 def spots(keyed: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_RUNS) -> DataFrame:
@@ -341,7 +342,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out[k] = pc.if_else(changed, pc.utf8_length(out[at]).cast(out[k].type), out[k])
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(run, docs.schema).select(*old_names)
+    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(lean(run), docs.schema).select(*old_names)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,10 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tessera.llm.common import read
 from tessera.llm.pieces import segments, vocabulary
 from tessera.llm.suffixes import compare, eights, padded, suffix_array
-from tessera.llm.words import parts, ragged
+from tessera.llm.words import lean, parts, ragged
 
 #: Distinct segments whose ids a task keeps, and bytes of new ones that are indexed at once.
-CACHED = 400_000
+CACHED = 200_000
 INDEXED = 400_000
 NEVER = np.int64(1) << 40
 #: Bits of the table of pairs.
@@ -287,7 +287,7 @@ def encoded(docs: DataFrame, model: str, *keep: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n), lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
 def decoded(tokens: DataFrame, model: str, *keep: str) -> DataFrame:

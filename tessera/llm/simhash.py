@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import plain_names, read, written
 from tessera.llm.graph import components
+from tessera.llm.words import lean
 
 SHINGLE = 3
 SEED = 42
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFra
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, "_fp"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(lean(run), schema)
 
 
 class Planes:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,21 @@ def parts(batch: pa.RecordBatch, text: int, limit: int = HELD) -> Iterator[pa.Re
         k = end
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which the worker, which waits for its next task, gives back the memory that it no longer needs."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return runs
+
+
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(row of each word, distinct words, each word's number among them); words are runs of other than ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
