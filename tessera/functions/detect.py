@@ -207,19 +207,30 @@ def query_alpha(query: str | Column, base: float = 0.5) -> Column:
     return F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.greatest(F.lit(base), least)))
 
 
+# Fixed patterns of error categories, in the order they are tried.
+ERROR_CATEGORIES = (
+    ("file_not_found", r"No such file or directory|ENOENT|FileNotFoundError|does not exist"),
+    ("module_not_found", r"ModuleNotFoundError|ImportError|No module named"),
+    ("command_not_found", r"command not found"),
+    ("permission_denied", r"Permission denied|EACCES|EPERM|auto-denied"),
+    ("file_too_large", r"file is too large|too many lines|exceeds.*limit"),
+    ("is_directory", r"EISDIR|Is a directory"),
+    ("syntax_error", r"SyntaxError|IndentationError"),
+    ("runtime_error", r"Traceback \(most recent|Exception:|Error:"),
+    ("timeout", r"timed? ?out|TimeoutError|deadline exceeded"),
+    ("no_matches", r"No (?:matches|files|results) found|0 matches"),
+    ("user_rejected", r"user.*reject|user.*denied|declined|didn't want to proceed"),
+    ("sibling_error", r"[Ss]ibling tool call errored"),
+    ("exit_code", r"exit code|non-zero|exited with"),
+    ("connection_error", r"ConnectionError|ConnectionRefused|ECONNREFUSED|network"),
+    ("build_failure", r"BUILD FAILED|compilation error|compile error"),
+)
+
+
 def error_category(text: str | Column) -> Column:
     """Category of an error message, by the first pattern that its first 2,000 characters match."""
-    t = F.lower(F.left(_c(text), F.lit(2000)))
+    t = F.left(_c(text), F.lit(2000))
     out = F.lit("unknown")
-    ladder = (
-        ("file_not_found", "no such file|file not found|does not exist"), ("module_not_found", "no module named|cannot find module|modulenotfounderror"),
-        ("command_not_found", "command not found|not recognized as"), ("permission_denied", "permission denied|access denied|eacces"),
-        ("timeout", "timed out|timeout"), ("connection", "connection refused|econnrefused|network is unreachable"),
-        ("syntax", "syntaxerror|syntax error|unexpected token"), ("type", "typeerror"), ("import", "importerror"),
-        ("test_failure", "assertionerror|tests? failed|failed tests?"), ("build_failure", "build failed|compilation error"),
-        ("out_of_memory", "out of memory|memoryerror"), ("user_rejected", "user rejected|doesn't want to"), ("too_large", "too large|exceeds maximum"),
-        ("exit_code", "exit code [1-9]"),
-    )
-    for kind, pattern in reversed(ladder):
-        out = F.when(t.rlike(pattern), kind).otherwise(out)
+    for kind, pattern in reversed(ERROR_CATEGORIES):
+        out = F.when(t.rlike("(?i)" + pattern), kind).otherwise(out)
     return out

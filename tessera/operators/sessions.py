@@ -35,8 +35,7 @@ def rereads(served: DataFrame, session: str, order: list, content: str, tokens:
 def read_lifecycle(ops: DataFrame, session: str, file: str, order: list, is_read: Column, is_edit: Column, low: str, high: str) -> DataFrame:
     """Reads that are stale (the file was edited later), superseded (a later read covers their lines) or fresh.
 
-    The number of a file's operations in a session is what a window holds; a suffix maximum of edits decides staleness,
-    and covering reads are met by a join on session and file.
+    A file's last edit in its session is an aggregate; reads that cover others are met by a join on session and file.
     """
     w = Window.partitionBy(session, file).orderBy(*order)
     o = ops.withColumn("_i", F.row_number().over(w)).withColumn("_edit", F.when(is_edit, F.row_number().over(w)))

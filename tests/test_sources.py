@@ -66,3 +66,9 @@ def test_paths_and_empty_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "a long, b long")
     assert {r.node: r.path for r in M.shortest_paths(e, 1, 5).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 4]}
     assert M.hops(e.limit(0), spark.createDataFrame([(9,)], "n long"), "n", 2).collect() == [(9, 0)]
+
+
+def test_error_categories(spark):
+    rows = {"bash: foo: command not found": "command_not_found", "ENOENT: x": "file_not_found", "Traceback (most recent call last)": "runtime_error", "exit code 2": "exit_code", "fine": "unknown"}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    assert {r.t: r.k for r in df.select("t", D.error_category("t").alias("k")).collect()} == rows
