@@ -210,21 +210,26 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("k", "sub").sortWithinPartitions("k", "sub", "_fp").select("k", "sub", "_fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, keep..., _fp, component_id for every row: the smallest doc_id of all rows that links reach."""
+def rooted(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, keep..., _fp, root for every row: the smallest fingerprint that links reach, which is the component itself."""
     prints = written(fingerprints(docs, "doc_id", *keep, shingle=shingle), "simhash")
     root = components(links(prints.select("_fp").distinct(), radius))
-    named = prints.join(root, F.col("_fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_fp")).drop("node")
+    return prints.join(root, F.col("_fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, keep..., _fp, component_id for every row: the smallest doc_id of all rows that links reach."""
+    named = rooted(docs, *keep, radius=radius, shingle=shingle)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").drop("root")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs, of each component only the first by doc_id."""
+    """The rows of docs, of each component only the first by doc_id; components that share a doc_id or have none stay apart."""
     docs, old_names = plain_names(docs, "doc_id", "text")
     marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = near_duplicates(marked, "_key")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_key"))).alias("f"))
+    groups = rooted(marked, "_key")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_key"))).alias("f"))
     stay = first.select(F.col("f.doc_id").alias("_d"), F.col("f._key").alias("_k"))
     # rows that repeat as a whole: the count of each that stays
     times = groups.groupBy("doc_id", "_key").agg(F.count("*").alias("_n"))

@@ -129,6 +129,13 @@ def test_simhash_against_all_pairs(spark, docs, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_components_apart_that_share_an_id(spark):
+    one, two, three, four = (prose(60, 900 + k) for k in range(4))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, four)]
+    kept = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, one), (None, two), (7, three), (7, four)], key=str)
+
+
 def test_hot_buckets_lose_no_link(spark, monkeypatch):
     base = int(rng.integers(0, 2**62))
     values = {base}
