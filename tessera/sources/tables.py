@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,3 +16,13 @@ def spread(df: DataFrame) -> DataFrame:
     """df, dealt anew where its files give fewer partitions than there are cores, for work that is heavy on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset) and read back."""
+    spark = df.sparkSession
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tessera-"))
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import detect as D
@@ -68,6 +69,17 @@ def test_paths_and_empty_graph(spark):
     assert M.hops(e.limit(0), spark.createDataFrame([(9,)], "n long"), "n", 2).collect() == [(9, 0)]
 
 
+def test_history_of_long_chains(spark):
+    n = 200
+    links = [(k, k - 1 if k else None) for k in range(n)] + [(1000, None), (1002, 1001)]
+    want = {(k, 0, k) for k in range(n)} | {(1000, 1000, 0), (1002, 1001, 1)}
+    df = spark.createDataFrame(links, "k long, p long")
+    assert set(map(tuple, M.history(df, "k", "p").collect())) == want
+    assert M.history(df.limit(0), "k", "p").count() == 0
+    with pytest.raises(ValueError):
+        M.history(spark.createDataFrame([(1, 2), (2, 1)], "k long, p long"), "k", "p")
+
+
 def test_error_categories(spark):
     rows = {"bash: foo: command not found": "command_not_found", "ENOENT: x": "file_not_found", "Traceback (most recent call last)": "runtime_error", "exit code 2": "exit_code", "fine": "unknown"}
     df = spark.createDataFrame([(k,) for k in rows], "t string")
