@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.detect import query_alpha
 from tessera.functions.text import bm25_terms
-from tessera.sources.tables import spread, table
+from tessera.sources.tables import spread, table, written
 
 # Saturation, length weight, raw score that counts as 1, bonus and length of long matches.
 K1, B, TOP_RAW, BONUS, LONG = 1.5, 0.75, 10.0, 0.3, 8
@@ -47,13 +49,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 10_000) -> DataFrame:
-    """The k items of the highest cosine to each query, exactly. The queries, max_queries at most, go to every task."""
-    held = queries.limit(max_queries + 1).select(query, F.col(query_vector).alias("_q"))
-    if held.count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in blocks of them")
-    pairs = items.select(item, F.col(vector).alias("_v")).join(F.broadcast(held), F.lit(True))
-    scored = pairs.select(query, item, cosine(F.col("_q"), F.col("_v")).alias("score"))
-    return top(scored if least is None else scored.where(F.col("score") >= least), query, "score", item, k)
+    """The k items of the highest cosine to each query, exactly.
+
+    The queries go to every task in blocks of about max_queries, dealt by their key; each block is one pass over the
+    items, and where there are several its result is written to the shared folder before the next begins.
+    """
+    given = queries.select(query, F.col(query_vector).alias("_q"))
+    blocks = -(-given.count() // max_queries)
+
+    def block(held: DataFrame) -> DataFrame:
+        pairs = items.select(item, F.col(vector).alias("_v")).join(F.broadcast(held), F.lit(True))
+        scored = pairs.select(query, item, cosine(F.col("_q"), F.col("_v")).alias("score"))
+        return top(scored if least is None else scored.where(F.col("score") >= least), query, "score", item, k)
+
+    if blocks <= 1:
+        return block(given)
+    return reduce(DataFrame.unionAll, [written(block(given.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)), "nearest") for i in range(blocks)])
 
 
 def hybrid(exact: DataFrame, semantic: DataFrame, query: str, item: str, alpha: Column) -> DataFrame:

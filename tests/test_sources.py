@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tessera.functions import detect as D
 from tessera.functions import text as T
 from tessera.operators import memory as M
 from tessera.operators import metrics
+from tessera.operators import retrieval as R
 from tessera.sources import stores
 
 
@@ -80,6 +82,22 @@ def test_history_of_long_chains(spark):
         M.history(spark.createDataFrame([(1, 2), (2, 1)], "k long, p long"), "k", "p")
 
 
+def test_nearest_in_blocks_of_queries(spark):
+    vectors = [(k, [float(k * 7 % 11), float(k * 5 % 13), 1.0]) for k in range(40)]
+    df = spark.createDataFrame(vectors, "k long, v array<double>")
+    asked = df.where("k < 20").select(F.col("k").alias("q"), F.col("v").alias("w"))
+
+    def cos(a, b):
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+        return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+    best = {(q, round(s, 9)) for q, v in vectors[:20] for s in sorted((cos(v, x) for _, x in vectors), reverse=True)[:4]}
+    got = R.nearest(df, "k", "v", asked, "q", "w", 4, max_queries=6).collect()
+    assert len(got) == 80 and {(r.q, round(r.score, 9)) for r in got} == best
+    assert sorted(map(tuple, got)) == sorted(map(tuple, R.nearest(df, "k", "v", asked, "q", "w", 4).collect()))
+    assert R.cache_hits(df, "k", "v", asked, "q", "w", 0.5).count() == 20
+
+
 def test_error_categories(spark):
     rows = {"bash: foo: command not found": "command_not_found", "ENOENT: x": "file_not_found", "Traceback (most recent call last)": "runtime_error", "exit code 2": "exit_code", "fine": "unknown"}
     df = spark.createDataFrame([(k,) for k in rows], "t string")
