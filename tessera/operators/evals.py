@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +47,15 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
         p, q = (x or "").lower().split(), (y or "").lower().split()
         if not p or not q:
             return 0.0
-        code = {w: i for i, w in enumerate(dict.fromkeys(p + q))}
-        u, v = (np.array([code[w] for w in s]) for s in (p, q))
-        row = np.zeros(len(v) + 1, np.int64)
-        for t in u:  # each row is a running maximum of matches and the row above
-            row[1:] = np.maximum.accumulate(np.maximum(np.where(v == t, row[:-1] + 1, 0), row[1:]))
-        n = int(row[-1])
+        at: dict[str, int] = {}
+        for i, w in enumerate(q):
+            at[w] = at.get(w, 0) | 1 << i
+        whole = (1 << len(q)) - 1
+        row = whole  # bits of q; a zero is a place where a longer subsequence ends, so each word of p is one step over all of q
+        for w in p:
+            met = row & at.get(w, 0)
+            row = (row + met | row - met) & whole
+        n = len(q) - row.bit_count()
         return 2 * n / (len(p) + len(q)) if n else 0.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
@@ -99,11 +101,16 @@ def _pairs(s, d) -> DataFrame:
     return spread(table(s, d, "documents")).select("doc_id", "lang", F.lower(F.left("text", F.lit(600))).alias("a"), F.lower(F.left("text", F.lit(400))).alias("b"))
 
 
+def _halves(s, d) -> DataFrame:
+    """Whole texts and their first halves."""
+    return spread(table(s, d, "documents")).select("doc_id", F.lower("text").alias("a"), F.lower(F.left("text", F.floor(F.length("text") / 2).cast("int"))).alias("b"))
+
+
 QUERIES = {
     "token_f1": (lambda s, d: _pairs(s, d).select("doc_id", F.round(token_f1(F.col("a"), F.col("b")), 6).alias("f1")), f"with t as (select doc_id, regexp_extract_all(a, '[a-z0-9_]+') as x, regexp_extract_all(b, '[a-z0-9_]+') as y from {_PAIR}), c as (select doc_id, sum(least(n, m)) as common from (select doc_id, w, count(*) as n from (select doc_id, unnest(x) as w from t) group by 1, 2) join (select doc_id, w, count(*) as m from (select doc_id, unnest(y) as w from t) group by 1, 2) using (doc_id, w) group by 1) select doc_id, round(case when len(x) = 0 and len(y) = 0 then 1.0::double else coalesce(2.0::double * common / (len(x) + len(y)), 0) end, 6) as f1 from t left join c using (doc_id)"),
     "fact_recall": (lambda s, d: table(s, d, "documents").select("doc_id", fact_recall(F.col("text"), F.left("text", F.floor(F.length("text") / 2).cast("int"))).alias("r")).select("doc_id", "r.*").where("facts > 0"), "select doc_id, cast(len(f) as integer) as facts, cast(len(list_filter(f, lambda x: contains(left(text, length(text) // 2), x))) as integer) as found from (select doc_id, text, list_distinct(regexp_extract_all(text, 'https?://\\S+|[A-Za-z_./-]+\\.[A-Za-z]{1,4}\\b|[0-9a-f]{8,}|\\b\\d[\\d.,]*\\d\\b')) as f from documents) where len(f) > 0"),
     "eval_suite": (lambda s, d: suite(_pairs(s, d), "a", "b", ["lang"]).select("lang", "cases", "same", "ratio"), "select lang, count(*) as cases, cast(count(*) filter (length(text) <= 400) as bigint) as same, round(sum(m) / sum(n), 6) as ratio from (select lang, text, case when length(text) = 0 then 0 else greatest(1, floor(least(600, length(text)) / 4.0::double + 0.5)) end as n, case when length(text) = 0 then 0 else greatest(1, floor(least(400, length(text)) / 4.0::double + 0.5)) end as m from documents) group by 1"),
-    "rouge_l": (lambda s, d: _pairs(s, d).select("doc_id", F.round(rouge_l("a", "b"), 6).alias("rouge")), None),
-    "bleu": (lambda s, d: _pairs(s, d).select("doc_id", F.round(bleu("b", "a"), 6).alias("bleu")), None),
+    "rouge_l": (lambda s, d: _halves(s, d).select("doc_id", F.round(rouge_l("a", "b"), 6).alias("rouge")), None),
+    "bleu": (lambda s, d: _halves(s, d).select("doc_id", F.round(bleu("b", "a"), 6).alias("bleu")), None),
     "needle_grid": (lambda s, d: needle_grid(table(s, d, "documents"), "text", ["[NEEDLE-4711]"], 1000), "with c as (select text, length(text) // 2 as h from documents), g as (select 'front' as place, '[NEEDLE-4711]' || text as t from c union all select 'back', text || '[NEEDLE-4711]' from c union all select 'middle', left(text, h) || '[NEEDLE-4711]' || substr(text, h + 1) from c) select place, '[NEEDLE-4711]' as needle, count(*) as n, cast(count(*) filter (contains(left(t, 500) || right(t, 500), '[NEEDLE-4711]')) as bigint) as hits from g group by 1"),
 }

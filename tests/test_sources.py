@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import detect as D
 from tessera.functions import text as T
+from tessera.operators import evals as E
 from tessera.operators import memory as M
 from tessera.operators import metrics
 from tessera.operators import retrieval as R
@@ -98,6 +99,30 @@ def test_nearest_in_blocks_of_queries(spark):
     assert R.cache_hits(df, "k", "v", asked, "q", "w", 0.5).count() == 20
 
 
+def test_rouge_and_bleu_score_whole_texts(spark, tmp_path):
+    texts = [" ".join(f"w{(k * k + j) % 17}" for k in range(n)) for j, n in enumerate((0, 1, 5, 90, 700))] + [None, " \n "]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def rouge(x, y):
+        p, q = x.split(), y.split()
+        row = [0] * (len(q) + 1)
+        for w in p:
+            new = [0]
+            for j, v in enumerate(q):
+                new.append(row[j] + 1 if w == v else max(row[j + 1], new[-1]))
+            row = new
+        return 2 * row[-1] / (len(p) + len(q)) if row[-1] else 0.0
+
+    cases = [(a or "", b or "") for a in texts for b in texts]
+    df = spark.createDataFrame(cases, "a string, b string")
+    assert all(round(r.got, 9) == round(rouge(r.a, r.b), 9) for r in df.select("a", "b", E.rouge_l("a", "b").alias("got")).collect())
+    got = {r.doc_id: r.rouge for r in E.QUERIES["rouge_l"][0](spark, str(tmp_path)).collect()}
+    assert got == {k: round(rouge(t or "", (t or "")[: len(t or "") // 2]), 6) for k, t in enumerate(texts)}
+    long = {r.doc_id: r.bleu for r in E.QUERIES["bleu"][0](spark, str(tmp_path)).collect()}[4]
+    n, m = len(texts[4].split()), len(texts[4][: len(texts[4]) // 2].split())
+    assert math.exp(1 - n / m) * 0.98 < long <= math.exp(1 - n / m) * 1.000001
+
+
 def test_error_categories(spark):
     rows = {"bash: foo: command not found": "command_not_found", "ENOENT: x": "file_not_found", "Traceback (most recent call last)": "runtime_error", "exit code 2": "exit_code", "fine": "unknown"}
     df = spark.createDataFrame([(k,) for k in rows], "t string")
