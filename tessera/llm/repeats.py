@@ -1,18 +1,21 @@
 """Repeated substrings across a corpus, by suffix arrays of shards.
 
-A byte is removed if a string of `length` bytes that covers it also starts anywhere else. Strings meet in shards: every
-window of `length` bytes goes by its anchor, the smallest hash of the grams in it, so equal windows share an anchor.
-Windows that follow each other with one anchor form a run, whose bytes travel once. Anchors of which there is one run
-in the corpus can't repeat, and their bytes stay where they are. Runs of the same bytes (by two 64-bit hashes) are first
-collapsed to one place that stands for all, and repeat as a whole; where an anchor has different runs, their bytes
-meet. A shard holds the runs of some anchors; its suffixes are sorted by Larsson-Sadakane
-refinement, Kasai's pass gives common prefixes, and windows that share `length` bytes with a neighbour are repeats. An
-anchor with more than `SHARD_RUNS` different runs is cut into several shards, which are merged pair by pair: the
-windows of one are found in the sorted suffixes of the other by binary search.
+A byte is removed if a string of `length` bytes that covers it also starts anywhere else. Two lengths can be asked for
+at once. Strings meet in shards: every window (as many bytes as the shorter length, with those up to the longer one
+behind them) goes by its anchor, the smallest hash of the grams in it, so equal windows share an anchor. Windows that
+follow each other with one anchor form a run, whose bytes travel once. Anchors of which there is one run in the corpus
+can't repeat (but for a periodic one), and their bytes stay where they are. Of runs with the same hashes two copies travel: the first to the
+shard of its anchor, the second to a shard of second copies.
+
+A shard's suffixes are sorted by Larsson-Sadakane refinement, Kasai's pass gives common prefixes, and a window repeats
+that shares `length` bytes with the next or the last window in order. The shard of second copies is merged into it by
+binary search: a run repeats as a whole if the search finds its bytes. Hashes only choose shards and stand for further
+copies of a run whose two first were compared. An anchor with more than `SHARD_RUNS` different runs is dealt anew: its windows go
+one by one to shards by a hash of their own bytes, so that the work stays in proportion to the windows.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps every byte; matches don't cross rows;
-rows that repeat are each other's copies and lose all windows; ids play no part in what is removed. `deduplicated`
-drops characters of which only some bytes are left.
+rows that repeat are each other's copies and lose all windows; ids play no part in what is removed; texts of any length
+are cut into pieces of `PIECE` bytes that overlap. `deduplicated` drops characters of which only some bytes are left.
 """
 
 from __future__ import annotations
@@ -23,21 +26,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import plain_names, read, written
-from tessera.llm.suffixes import PAD, common_prefixes, compare, eights, found_in, padded, suffix_array
-from tessera.llm.words import lean, parts
+from tessera.llm.suffixes import PAD, common_prefixes, eights, found_in, padded, suffix_array
+from tessera.llm.words import lean, parts, ragged
 
 
 LENGTH = 400
+#: The shorter length, for passages: fifty words of four letters, with a space each.
+PASSAGE = 250
 GRAM = 32
 #: Bytes that are scanned at once; places in a piece fit 20 bits.
 PIECE = 1 << 19
 PLACES = (1 << 20) - 1
-#: Different runs of an anchor in one shard, and bytes of a shard that holds several anchors.
-SHARD_RUNS = 2048
+#: Different runs of an anchor beyond which its windows are dealt one by one, and bytes of a shard.
+SHARD_RUNS = 512
 SHARD_BYTES = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -62,46 +67,63 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs_of(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor) of every run in texts piece[starts[i]:ends[i]]; starts in bytes of the piece.
+def runs_of(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: np.ndarray, short: int) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, inner) of every run among the first `windows` windows of texts piece[starts[i]:ends[i]].
 
-    A run is a stretch of window starts whose windows have their smallest gram hash (the leftmost, of equals) at the
-    same place. The hash is the run's anchor: windows of equal content lie in runs of equal anchor.
+    A run is a stretch of window starts, `short` at most, whose windows have the same smallest gram hash (of the
+    leftmost gram, of equals). The hash is the run's anchor: windows of equal content lie in runs of equal anchor.
+    Only in a run where that gram comes at several places (inner) two windows may be equal.
     """
-    fits = ends - starts >= length
+    fits = windows > 0
     if not fits.any():
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     words = eights(np.concatenate([piece, np.zeros(PAD, np.uint8)]), False)
     h = grams(words)
     low = np.uint64(PLACES)
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
-    edge = np.zeros(len(least) + 1, np.int32)
+    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), short - GRAM + 1)
+    edge, begins = np.zeros(len(least) + 1, np.int32), np.zeros(len(least), bool)
     np.add.at(edge, starts[fits], 1)
-    np.add.at(edge, ends[fits] - length + 1, -1)
+    np.add.at(edge, starts[fits] + windows[fits], -1)
+    begins[starts[fits]] = True
     at = np.flatnonzero(np.cumsum(edge[:-1]))
-    seen = least[at]
-    new = np.r_[True, (seen[1:] != seen[:-1]) | (at[1:] != at[:-1] + 1) | np.isin(at[1:], starts)]
-    first = np.flatnonzero(new)
+    gram = (least[at] & low).astype(np.int64)
+    anchor = h[gram]
+    first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | begins[at[1:]]])
+    cuts = -(-np.diff(np.r_[first, len(at)]) // short)
+    first = ragged(np.zeros(len(first), np.int64), cuts) * short + np.repeat(first, cuts)
     start = at[first]
-    return np.searchsorted(starts, start, "right") - 1, start, np.diff(np.r_[first, len(at)]), h[(seen[first] & low).astype(np.int64)]
+    windows = np.diff(np.r_[first, len(at)])
+    return np.searchsorted(starts, start, "right") - 1, start, windows, anchor[first], gram[first] != gram[first + windows - 1]
 
 
-def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Cuts texts that lie end to end at offsets into stretches of at most PIECE bytes: (base, text numbers, starts, ends)."""
-    k, n = 0, len(offsets) - 1
+def pieces(offsets: np.ndarray, lengths: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Cuts texts that lie end to end at offsets into stretches of at most PIECE bytes.
+
+    Gives (base, text numbers, starts, ends, windows): windows that have all their bytes, up to the longer length, here.
+    """
+    (short, long), k, n = lengths, 0, len(offsets) - 1
     while k < n:
-        if offsets[k + 1] - offsets[k] > PIECE:  # a long text alone, cut so that every window lies in one piece
-            for a in range(int(offsets[k]), int(offsets[k + 1]) - length + 1, PIECE - length + 1):
-                yield a, np.array([k]), np.array([0]), np.array([min(PIECE, int(offsets[k + 1]) - a)])
+        if offsets[k + 1] - offsets[k] > PIECE:  # a long text alone
+            size = int(offsets[k + 1] - offsets[k])
+            for a in range(0, size - short + 1, PIECE - long + 1):
+                end = min(PIECE, size - a)
+                yield int(offsets[k]) + a, np.array([k]), np.array([0]), np.array([end]), np.array([end - short + 1 if a + end == size else PIECE - long + 1])
+                if a + end == size:
+                    break
             k += 1
             continue
         end = int(np.searchsorted(offsets, offsets[k] + PIECE, "right")) - 1
-        yield int(offsets[k]), np.arange(k, end), offsets[k:end] - offsets[k], offsets[k + 1 : end + 1] - offsets[k]
+        starts, ends = offsets[k:end] - offsets[k], offsets[k + 1 : end + 1] - offsets[k]
+        yield int(offsets[k]), np.arange(k, end), starts, ends, ends - starts - short + 1
         k = end
 
 
-def runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_key, text) -> _key, start, windows, anchor, frag: a row for every run; frag hashes the bytes that its windows cover."""
+RUNS = "_key long, start int, windows int, size int, anchor long, frag long, inner boolean"
+
+
+def runs(keyed: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """(_key, text) -> a row for every run: its place, windows and bytes; frag hashes the bytes and the number of windows."""
+    short, long = lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,174 +131,208 @@ def runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             text = batch.column(1).cast(pa.binary())
             offsets = np.frombuffer(text.buffers()[1], np.int32, count=len(text) + 1, offset=4 * text.offset).astype(np.int64)
             data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.empty(0, np.uint8)
-            for base, rows, starts, ends in pieces(offsets, length):
+            for base, rows, starts, ends, fit in pieces(offsets, lengths):
                 piece = data[base : base + int(ends[-1])]
-                which, start, windows, anchor = runs_of(piece, starts, ends, length)
+                which, start, windows, anchor, inner = runs_of(piece, starts, ends, fit, short)
                 if not len(start):
                     continue
+                size = np.minimum(windows - 1 + long, ends[which] - start)
                 view = memoryview(piece)
-                frag = [xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)]
-                text_at = base + start - offsets[rows[which]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows[which]]), pa.array(text_at.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(np.array(frag, np.uint64).view(np.int64))],
-                    names=["_key", "start", "windows", "anchor", "frag"])
+                frag = [xxhash.xxh64_intdigest(view[a : a + n], w) for a, n, w in zip(start.tolist(), size.tolist(), windows.tolist(), strict=True)]
+                place = base + start - offsets[rows[which]]
+                columns = [keys[rows[which]], place.astype(np.int32), windows.astype(np.int32), size.astype(np.int32), anchor.view(np.int64), np.array(frag, np.uint64).view(np.int64), inner]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_key", "start", "windows", "size", "anchor", "frag", "inner"])
 
-    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(lean(run), "_key long, start int, windows int, anchor long, frag long")
+    return keyed.select("_key", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(lean(run), RUNS)
 
 
-def _spots(places: np.ndarray) -> list[list[int]]:
+def _spots(places: np.ndarray) -> list[int]:
     """Ascending numbers as [first, end) stretches, flat."""
     cut = np.flatnonzero(np.diff(places) > 1)
     return np.stack([np.r_[places[:1], places[cut + 1]], np.r_[places[cut], places[-1:]] + 1], axis=1).ravel().tolist()
 
 
 class Shard:
-    """Runs laid end to end, each behind a byte that no UTF-8 text has, with their suffixes in order."""
+    """Runs laid end to end, each before a byte that no UTF-8 text has, with their suffixes in order."""
 
-    def __init__(self, texts: list[bytes], windows: np.ndarray, length: int):
-        self.length, self.windows = length, windows
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.starts = np.cumsum(sizes) - sizes
-        text = padded(b"\xff".join(texts) + b"\xff")
+    def __init__(self, texts: list[bytes], windows: np.ndarray):
+        self.starts, self.ends, text = _end_to_end(texts)
         self.words, self.text = eights(text), text
         self.order, self.rank = suffix_array(self.words)
-        self.is_window = np.zeros(len(self.words) + 1, np.int32)
-        np.add.at(self.is_window, self.starts, 1)
-        np.add.at(self.is_window, self.starts + windows, -1)
-        self.is_window = np.cumsum(self.is_window)[:-1].astype(bool)
-
-    def repeats(self) -> np.ndarray:
-        """Places of windows that share length bytes with a neighbour in order."""
-        same = common_prefixes(eights(self.text, False), self.order, self.rank, self.length) >= self.length
-        hit = np.zeros(len(self.order), bool)
-        hit[self.order] = same | np.r_[same[1:], False]
-        return np.flatnonzero(hit & self.is_window)
-
-    def met_by(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
-        """(own places, other's places) of windows that both have."""
-        own = self.order[self.is_window[self.order]]
-        asked = np.flatnonzero(other.is_window)
-        hit = found_in(other.words, asked, self.words, own, self.length)
-        found = own[np.unique(hit[hit >= 0])]
-        # all equal windows lie together in the order
-        place = np.searchsorted(self.rank[own], self.rank[found])
-        ends = np.zeros(len(own), bool)
-        ends[1:] = compare(self.words, own[:-1], self.words, own[1:], self.length) != 0
-        group = np.cumsum(ends)
-        return np.sort(own[np.isin(group, group[place])]), asked[hit >= 0]
-
-    def by_run(self, places: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """(run, stretches of window numbers in it) of ascending window places."""
-        which = np.searchsorted(self.starts, places, "right") - 1
-        if not len(which):
-            return
-        first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        for a, b in zip(first, [*first[1:], len(which)], strict=True):
-            run = int(which[a])
-            yield run, _spots(places[a:b] - self.starts[run])
-
-
-def _matched(shards: DataFrame, length: int) -> DataFrame:
-    """Rows of one (anchor, i, j) are one group. Gives anchor, frag, spots: repeated windows of runs that occur once."""
-
-    def found(shard: Shard, rows: list[tuple], places: np.ndarray) -> Iterator[tuple]:
-        for run, stretches in shard.by_run(places):
-            if not rows[run][5]:
-                yield rows[run][0], rows[run][3], stretches
-
-    def shard_of(rows: list[tuple]) -> Shard:
-        return Shard([r[7] for r in rows], np.array([r[6] for r in rows]), length)
-
-    def pair(rows: list[tuple]) -> Iterator[tuple]:
-        sides = [[r for r in rows if r[4] == k] for k in rows[0][1:3]]
-        if all(sides):
-            a, b = map(shard_of, sides)
-            for side, shard, places in zip(sides, (a, b), a.met_by(b), strict=True):
-                yield from found(shard, side, places)
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        anchor, frag, stretches = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(frag, pa.int64()), pa.array(stretches, pa.list_(pa.int32()))], names=["anchor", "frag", "spots"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole groups, each of one shard
-        group: list[tuple] = []
-        size = 0
-
-        def made(final: bool) -> Iterator[pa.RecordBatch]:
-            """Closes the group; works off what is held once that is enough."""
-            nonlocal held, group, size
-            out: list[tuple] = []
-            if group and group[0][1] == group[0][2]:
-                held += group
-                size += sum(len(r[7]) for r in group)
-            elif group:
-                out += pair(group)
-            if held and (final or size >= SHARD_BYTES):
-                shard = shard_of(held)
-                out += found(shard, held, shard.repeats())
-                held, size = [], 0
-            group = []
-            if out:
-                yield batch_of(out)
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[-1][:3] != row[:3]:
-                    yield from made(False)
-                if not group or group[-1][:4] != row[:4]:  # a row that the corpus repeats as a whole comes more than once
-                    group.append(row)
-        yield from made(True)
+        edge = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(edge, self.starts, 1)
+        np.add.at(edge, self.starts + windows, -1)
+        self.is_window = np.cumsum(edge)[:-1].astype(bool)
+
+    def repeats(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all windows, and how many bytes (up to depth) each shares with the window next to it in order."""
+        prefix = common_prefixes(eights(self.text, False), self.order, self.rank, depth)
+        at = np.flatnonzero(self.is_window[self.order])
+        # what two windows share is the least of the common prefixes between them
+        shared = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.empty(0, np.int64)
+        most = np.empty(len(self.words), np.int64)
+        most[self.order[at]] = np.maximum(np.r_[0, shared], np.r_[shared, 0])
+        places = np.flatnonzero(self.is_window)
+        return places, np.minimum(most[places], self.ends[np.searchsorted(self.starts, places, "right") - 1] - places)
+
+    def met_by(self, texts: list[bytes]) -> np.ndarray:
+        """Which of other shard's runs are runs of this one: found by binary search in its order, to their ends."""
+        first = np.zeros(len(self.order), bool)
+        first[self.starts] = True
+        own = self.order[first[self.order]]
+        starts, ends, text = _end_to_end(texts)
+        return found_in(eights(text), starts, self.words, own, ends - starts + 1) >= 0
+
+
+def _end_to_end(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    ends = np.cumsum(sizes)
+    return ends - sizes, ends - 1, padded(b"\xff".join(texts) + b"\xff")
+
+
+def _judged(rows: list[tuple], second: dict[int, bytes], lengths: tuple[int, int]) -> pa.RecordBatch:
+    """rows (level, anchor, frag, windows, bytes) of a shard, and the second copies of some -> level, anchor, frag, spots."""
+    short, long = lengths
+    shard = Shard([r[4] for r in rows], np.array([r[3] for r in rows]))
+    places, shared = shard.repeats(long)
+    cuts = np.searchsorted(places, shard.starts[1:])
+    whole = set(np.array(list(second), np.int64)[shard.met_by(list(second.values()))].tolist()) if second else set()
+    out = []
+    for k, (row, p, s) in enumerate(zip(rows, np.split(places - np.repeat(shard.starts, [r[3] for r in rows]), cuts), np.split(shared, cuts), strict=True)):
+        if k in whole:
+            found = [[0, min(row[3], len(row[4]) - n + 1)] if len(row[4]) >= n else [] for n in (short, long)]
+        else:
+            found = [_spots(hit) if len(hit := p[s >= n]) else [] for n in (short, long)]
+        if found[0]:
+            out.append((*row[:3], found))
+    level, anchor, frag, spots = zip(*out, strict=True) if out else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(anchor, pa.int64()), pa.array(frag, pa.int64()), pa.array(spots, pa.list_(pa.list_(pa.int32())))], names=["level", "anchor", "frag", "spots"])
 
-    dealt = shards.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "frag")
-    return dealt.select("anchor", "i", "j", "frag", "sub", "whole", "windows", "bytes").mapInArrow(lean(run), "anchor long, frag long, spots array<int>")
 
+def _matched(copies: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """First and second copies with their bytes -> level, anchor, frag, spots (for either length) of runs that repeat in part."""
 
-def _taken(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted: _key and a run's place and name; gives the runs with their bytes."""
-    names = ["anchor", "frag", "kinds", "whole", "windows", "bytes"]
-    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct("start", *names[:-1])).alias("_runs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        second: dict[int, bytes] = {}
+        size, last = 0, None
+        for batch in batches:
+            for level, anchor, frag, copy, windows, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last == (level, anchor, frag, copy):
+                    continue  # of a row that the corpus repeats as a whole
+                if held and (level != last[0] or size >= SHARD_BYTES and anchor != last[1]):
+                    yield _judged(held, second, lengths)
+                    held, second, size = [], {}, 0
+                last = (level, anchor, frag, copy)
+                if copy:
+                    second[len(held) - 1] = raw
+                else:
+                    held.append((level, anchor, frag, windows, raw))
+                    size += len(raw)
+        if held:
+            yield _judged(held, second, lengths)
+
+    dealt = copies.repartition("anchor").sortWithinPartitions("level", "anchor", "frag", "copy")
+    return dealt.select("level", "anchor", "frag", "copy", "windows", "bytes").mapInArrow(lean(run), "level int, anchor long, frag long, spots array<array<int>>")
+
+
+def _at_places(keyed: DataFrame, wanted: DataFrame, made, names: list[str], schema: str, chunk: int = 4096) -> DataFrame:
+    """wanted: _key and `names`. made(raw texts, text numbers, keys, columns of `names`) gives the columns of schema, a chunk of places at a time."""
+    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct(*names)).alias("_runs"))
     columns = keyed.columns
+    out = [c.split()[0] for c in schema.split(", ")]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole, columns.index("text"))):
-            places = batch.column(len(columns))
+        kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+        for batch in (part for whole in batches for part in parts(whole, at)):
+            key, raw, places = batch.column(columns.index("_key")), batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(columns))
             row = np.repeat(np.arange(len(batch)), np.asarray(places.value_lengths()))
             every = places.flatten()
-            raw = batch.column(columns.index("text")).cast(pa.binary()).to_pylist()
-            start, windows = (np.asarray(every.field(f)) for f in ("start", "windows"))
-            for k in range(0, len(row), 8192):
-                cut = slice(k, k + 8192)
-                pieces = [raw[r][a : a + w + length - 1] for r, a, w in zip(row[cut].tolist(), start[cut].tolist(), windows[cut].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(every.field(f).slice(k, 8192) for f in names[:-1]), pa.array(pieces, pa.binary())], names=names)
+            for k in range(0, len(row), chunk):
+                cut = slice(k, k + chunk)
+                found = list(made(raw, row[cut], key.take(pa.array(row[cut])), every.slice(k, chunk)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=out)
 
     # all columns go in, so that this exchange of the texts is the one that the result uses again
-    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(lean(run), "anchor long, frag long, kinds long, whole boolean, windows int, bytes binary")
-
-
-def spots(keyed: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_RUNS) -> DataFrame:
-    """keyed (_key, text, ...) -> _key, found: a list of (start, spots) for every key of which something repeats."""
-    every = written(runs(keyed, length), "runs")
-    kinds = every.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(F.struct("_key", "start")).alias("p"), F.first("windows").alias("windows"))
-    several = kinds.groupBy("anchor").agg(F.sum("n").alias("t"), F.count("*").alias("kinds")).where("t > 1").drop("t")
-    met = kinds.join(several, "anchor").select("anchor", "frag", "windows", "kinds", (F.col("n") > 1).alias("whole"), "p._key", "p.start")
-    met = written(met, "run-kinds")
-    bytes_ = _taken(keyed, met.where("kinds > 1"), length)
-    # an anchor with many runs has several shards: each run meets its own and, in pairs, every other one
-    n = F.expr(f"cast((kinds + {shard_runs} - 1) div {shard_runs} as int)")
-    subbed = bytes_.withColumn("sub", F.pmod(F.xxhash64("frag"), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    shards = subbed.select("anchor", F.least("sub", "_other").alias("i"), F.greatest("sub", "_other").alias("j"), "frag", "sub", "whole", "windows", "bytes")
-    whole = met.where("whole").select("anchor", "frag", F.array(F.lit(0), F.col("windows")).alias("spots"))
-    out = every.join(whole.unionAll(_matched(shards, length)), ["anchor", "frag"])
+    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(lean(run), schema)
+
+
+def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (_key, start, size, level, anchor, frag, copy, windows): gives them with their bytes."""
+
+    def made(raw, row, _, every):
+        start, size = (np.asarray(every.field(f)).tolist() for f in ("start", "size"))
+        yield from (every.field(f) for f in ("level", "anchor", "frag", "copy", "windows"))
+        yield [raw[r][a : a + n] for r, a, n in zip(row.tolist(), start, size, strict=True)]
+
+    names = ["start", "size", "level", "anchor", "frag", "copy", "windows"]
+    return _at_places(keyed, wanted, made, names, "level int, anchor long, frag long, copy int, windows int, bytes binary")
+
+
+def _windows(keyed: DataFrame, hot: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """Every window of the runs in hot as a run of its own, whose anchor hashes all its bytes; level 1 and 2: the shorter and the longer length."""
+
+    def made(raw, row, key, every):
+        keys, starts, levels, sizes, names = [], [], [], [], []
+        start, windows, size = (np.asarray(every.field(f)).tolist() for f in ("start", "windows", "size"))
+        for r, k, a, w, n in zip(row.tolist(), key.to_pylist(), start, windows, size, strict=True):
+            text = memoryview(raw[r])[a : a + n]
+            for level, length in enumerate(dict.fromkeys(lengths), 1):
+                m = min(w, n - length + 1)
+                if m > 0:
+                    names += [xxhash.xxh64_intdigest(text[i : i + length], level) for i in range(m)]
+                    starts += range(a, a + m)
+                    keys += [k] * m
+                    levels += [level] * m
+                    sizes += [length] * m
+        yield keys
+        yield starts
+        yield levels
+        yield sizes
+        yield np.array(names, np.uint64).view(np.int64)
+
+    return _at_places(keyed, hot, made, ["start", "windows", "size"], "_key long, start int, level int, size int, anchor long", 128)
+
+
+def _copies(kinds: DataFrame) -> DataFrame:
+    """The first copy of each kind, and the second, of those that come more than once."""
+    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("copy"), "p.*"), F.struct(F.lit(1).alias("copy"), "q.*"))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), "p.*")))
+    return kinds.withColumn("_c", F.explode(both)).select("_c._key", "_c.start", "_c.copy", "size", "windows", "level", "anchor", "frag")
+
+
+def spots(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, LENGTH), shard_runs: int | None = None) -> DataFrame:
+    """keyed (_key, text, ...) -> _key, found: a list of (start, spots for either length) for every key of which something repeats."""
+    shard_runs = shard_runs or SHARD_RUNS
+    every = written(runs(keyed, lengths), "runs")
+    ends = [F.count("*").alias("n"), F.min(F.struct("_key", "start")).alias("p"), F.max(F.struct("_key", "start")).alias("q"), F.first("windows").alias("windows"), F.first("size").alias("size")]
+    kinds = every.groupBy("anchor", "frag").agg(*ends, F.max("inner").alias("inner"))
+    several = kinds.groupBy("anchor").agg(F.sum("n").alias("t"), F.max("inner").alias("_i"), F.count("*").alias("kinds")).where("t > 1 or _i").drop("t", "_i")
+    met = written(kinds.join(several, "anchor").withColumn("level", F.lit(0)), "run-kinds")
+    hot = met.where(F.col("kinds") > shard_runs).select("anchor").distinct()
+    found = _matched(_taken(keyed, _copies(met.where(F.col("kinds") <= shard_runs))), lengths)
+    out = every.join(found.drop("level"), ["anchor", "frag"]).select("_key", "start", "spots")
+    if not hot.isEmpty():
+        single = written(_windows(keyed, every.join(hot, "anchor"), lengths), "windows")
+        kinds = single.withColumn("windows", F.lit(1)).groupBy("level", "anchor").agg(*ends).where("n > 1").withColumn("frag", F.col("anchor"))
+        met = _matched(_taken(keyed, _copies(kinds)), lengths).where(F.size(F.element_at("spots", F.col("level"))) > 0)
+        again = single.join(met.select("level", "anchor"), ["level", "anchor"])
+        # windows that follow each other become one stretch
+        after = F.row_number().over(Window.partitionBy("_key", "level").orderBy("start"))
+        stretch = again.select("_key", "level", "start").distinct().withColumn("_g", F.col("start") - after).groupBy("_key", "level", "_g").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("w"))
+        none, all_ = F.array().cast("array<int>"), F.array(F.lit(0), F.col("w"))
+        if lengths[0] == lengths[1]:
+            found = F.array(all_, all_)
+        else:
+            found = F.when(F.col("level") == 1, F.array(all_, none)).otherwise(F.array(none, all_))
+        out = out.unionAll(stretch.select("_key", "start", found.alias("spots")))
     return out.groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
 
 
-def _covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal removed runs [a, b) of a text."""
-    if not found:
-        return []
-    parts = sorted((f["start"] + f["spots"][k], f["start"] + f["spots"][k + 1] - 1 + length) for f in found for k in range(0, len(f["spots"]), 2))
-    out = [list(parts[0])]
+def _covered(found: list[dict] | None, length: int, which: int = 0) -> list[tuple[int, int]]:
+    """Maximal removed runs [a, b) of a text; which: the shorter or the longer length."""
+    parts = sorted((f["start"] + s[k], f["start"] + s[k + 1] - 1 + length) for f in found or [] for s in [f["spots"][which]] for k in range(0, len(s), 2))
+    out = [list(p) for p in parts[:1]]
     for a, b in parts[1:]:
         if a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
@@ -289,36 +345,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("doc_id", "text", F.length("text")))
 
 
-def _cut(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
+def _cut(docs: DataFrame, lengths: tuple[int, int], columns: list[str]) -> DataFrame:
     """docs (all of columns, with text) with what repeats in each."""
     keyed = _keyed(docs.select(*columns))
-    return keyed.join(spots(keyed, length), "_key", "left")
+    return keyed.join(spots(keyed, lengths), "_key", "left")
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+def removed(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; n_repeated, n_repeated_spans: bytes and maximal runs
+    that strings of `passage` bytes (length at most) cover which start elsewhere, found in the same suffix arrays."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                raw = text.as_py() or b""
-                cut = _covered(found.as_py(), length)
+                raw, found = text.as_py() or b"", found.as_py()
+                cut, near = _covered(found, length, 1), _covered(found, passage)
                 digest, at = hashlib.sha256(), 0
                 for a, b in cut:
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
-                rows.append((len(raw), sum(b - a for a, b in cut), len(cut), digest.hexdigest()))
-            n_bytes, gone, n, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(raw), sum(b - a for a, b in cut), len(cut), digest.hexdigest(), sum(b - a for a, b in near), len(near)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeated_spans"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _cut(docs, length, ["doc_id", "text"]).select("doc_id", "text", "found").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = _cut(docs, (passage, length), ["doc_id", "text"]).select("doc_id", "text", "found")
+    return cut.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeated_spans long")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with what repeats cut out of text; n_chars, where docs has it, is that of a changed text."""
     docs, old_names = plain_names(docs, "doc_id", "text", "n_chars")
     columns = docs.columns
@@ -342,7 +402,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out[k] = pc.if_else(changed, pc.utf8_length(out[at]).cast(out[k].type), out[k])
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return _cut(docs, length, columns).select(*columns, "found").mapInArrow(lean(run), docs.schema).select(*old_names)
+    return _cut(docs, (length, length), columns).select(*columns, "found").mapInArrow(lean(run), docs.schema).select(*old_names)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

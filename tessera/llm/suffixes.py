@@ -100,40 +100,44 @@ def common_prefixes(little: np.ndarray, order: np.ndarray, rank: np.ndarray, dep
     return out
 
 
-def compare(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, depth: int) -> np.ndarray:
-    """Sign of the byte order of a's suffixes from at_a and b's from at_b, over depth bytes; a, b: eights(big=True)."""
-    out = np.zeros(len(at_a), np.int64)
-    left = np.arange(len(at_a))
-    for k in range(0, depth, 8):
+def compare(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
+    """Sign of the byte order of a's suffixes from at_a and b's from at_b, over depth bytes each; a, b: eights(big=True)."""
+    out, depth = np.zeros(len(at_a), np.int64), np.broadcast_to(depth, len(at_a))
+    left, k = np.flatnonzero(depth > 0), 0
+    while len(left):
         x, y = a[np.minimum(at_a[left] + k, len(a) - 1)], b[np.minimum(at_b[left] + k, len(b) - 1)]
-        if depth - k < 8:
-            keep = ~np.uint64(0) << np.uint64(8 * (8 - (depth - k)))
-            x, y = x & keep, y & keep
+        rest = depth[left] - k
+        short = np.flatnonzero(rest < 8)
+        if len(short):
+            keep = ~np.uint64(0) << (8 * (8 - rest[short])).astype(np.uint64)
+            x[short] &= keep
+            y[short] &= keep
         sign = (x > y).astype(np.int64) - (x < y)
         out[left] = sign
-        left = left[sign == 0]
-        if not len(left):
-            break
+        k += 8
+        left = left[(sign == 0) & (rest > 8)]
     return out
 
 
-def found_in(queries: np.ndarray, at: np.ndarray, words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def found_in(queries: np.ndarray, at: np.ndarray, words: np.ndarray, order: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
     """For each query suffix (places `at` of queries) the place in order of an equal one by depth bytes, or -1; by binary search.
 
-    order lists places of words, sorted by depth bytes; each listed place has depth bytes behind it, as has each query.
+    order lists places of words in the order of their suffixes. No comparison may run past the end of either text: each
+    place has depth bytes behind it, or one of the two ends in a byte that tells it from the other.
     """
+    depth = np.broadcast_to(depth, len(at))
     low, high = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
     while True:
         live = np.flatnonzero(low < high)
         if not len(live):
             break
         mid = (low[live] + high[live]) >> 1
-        more = compare(queries, at[live], words, order[mid], depth) > 0
+        more = compare(queries, at[live], words, order[mid], depth[live]) > 0
         low[live] = np.where(more, mid + 1, low[live])
         high[live] = np.where(more, high[live], mid)
     inside = np.flatnonzero(low < len(order))
     hit = np.full(len(at), -1, np.int64)
     if len(inside):
-        same = compare(queries, at[inside], words, order[low[inside]], depth) == 0
+        same = compare(queries, at[inside], words, order[low[inside]], depth[inside]) == 0
         hit[inside[same]] = low[inside[same]]
     return hit

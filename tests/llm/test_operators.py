@@ -233,28 +233,70 @@ def test_suffix_arrays_prefixes_and_search():
         assert all(text[whole[h] : whole[h] + 8] == text[q : q + 8] for q, h in zip(asked, hit, strict=True))
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_repeats_against_every_window(spark, docs, rows, length):
-    raw = [(r[1] or "").encode() for r in rows]
+def cover_of(raw, length):
+    """For each text, which bytes a string of `length` bytes covers that starts elsewhere too."""
     times = Counter(t[k : k + length] for t in raw for k in range(len(t) - length + 1))
-    want = []
-    for r, t in zip(rows, raw, strict=True):
-        gone = bytearray(len(t))
+    out = []
+    for t in raw:
+        gone, until = bytearray(len(t)), 0
         for k in range(len(t) - length + 1):
             if times[t[k : k + length]] > 1:
-                gone[k : k + length] = b"\x01" * length
-        spans = sum(bool(x) and (k == 0 or not gone[k - 1]) for k, x in enumerate(gone))
-        want.append((r[0], len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, x in zip(t, gone, strict=True) if not x)).hexdigest()))
-    assert sorted(map(tuple, repeats.removed(docs, length).collect()), key=str) == sorted(want, key=str)
+                until = max(until, k)
+                gone[until : k + length] = b"\x01" * (k + length - until)
+                until = k + length
+        out.append(gone)
+    return out
+
+
+def n_runs(gone):
+    return sum(bool(x) and (k == 0 or not gone[k - 1]) for k, x in enumerate(gone))
+
+
+def removed_rows(rows, length, passage):
+    raw = [(r[1] or "").encode() for r in rows]
+    out = []
+    for r, t, gone, near in zip(rows, raw, cover_of(raw, length), cover_of(raw, passage), strict=True):
+        kept = hashlib.sha256(bytes(b for b, x in zip(t, gone, strict=True) if not x)).hexdigest()
+        out.append((r[0], len(t), sum(gone), n_runs(gone), kept, sum(near), n_runs(near)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("length", "passage", "most"), [(40, 36, 512), (400, 250, 512), (400, 250, 1), (60, 60, 1), (60, 40, 3)])
+def test_repeats_against_every_window(docs, rows, monkeypatch, length, passage, most):
+    monkeypatch.setattr(repeats, "SHARD_RUNS", most)  # 1: all anchors of several runs are dealt by windows
+    assert sorted(map(tuple, repeats.removed(docs, length, passage).collect()), key=str) == removed_rows(rows, length, passage)
 
 
-def test_repeats_over_many_shards_and_texts(spark, docs):
-    keyed = repeats._keyed(docs)
-    cover = lambda n: {r._key: repeats._covered([x.asDict() for x in r.found], 400) for r in repeats.spots(keyed, 400, n).collect()}
-    assert cover(2) == cover(4096)
+def test_repeats_of_small_shards_and_pieces(docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(repeats, "PIECE", 2000)
+    assert sorted(map(tuple, repeats.removed(docs).collect()), key=str) == removed_rows(rows, 400, 250)
     left = repeats.deduplicated(docs)
     assert left.columns == docs.columns and left.where("_key = 1 and size = 'x' and kept = 0").count() == docs.count()
-    assert all(len(r.text or "") == (r.n_chars or 0) for r in left.collect()) and repeats.removed(docs.limit(0)).count() == 0
+    assert all(len(r.text or "") == (r.n_chars or 0) for r in left.collect())
+    assert repeats.removed(docs.limit(0)).count() == 0 and repeats.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_repeats_in_texts_over_a_megabyte(spark):
+    once, part = prose(30_000, 1), prose(200, 2)
+    assert len(part) > 1000
+    rows = [(1, prose(150_000, 3) + " " + part + " " + once), (2, part + " end"), (3, "a" * 1_200_000), (4, once), (5, "b" * 399)]
+    assert len(rows[0][1]) > 1_000_000
+    got = {r.doc_id: r for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (len(part) + 1 + len(once), 1) and got[2].n_removed == len(part) + 1
+    assert got[3].n_removed == 1_200_000 and got[3].n_spans == 1
+    assert got[4].n_removed == len(once) and (got[5].n_removed, got[5].n_repeated, got[5].n_repeated_spans) == (0, 399, 1)
+
+
+def test_an_anchor_with_ten_thousand_versions(spark):
+    """A sentence that 10,000 texts share, each in words of its own; pairs of texts share 450 bytes around it."""
+    middle = prose(25, 4)
+    rows = []
+    for i in range(10_000):
+        before, after = prose(25, 20_000 + i), prose(25, 40_000 + i // 2)
+        rows.append((i, f"{before} {middle} {after}" if i < 9_000 else f"{prose(45, 90_000 + i // 2)} {middle} {after}"))
+    got = sorted(map(tuple, repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == removed_rows(rows, 400, 250)
 
 
 def unigram(text):
