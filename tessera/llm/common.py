@@ -18,12 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one where it is unset, but on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -35,12 +37,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """Has path removed when the session's JVM ends, if nothing removes it before."""
+    files, where = _at(spark, path)
+    files.deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    until_the_end(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a table made by `written` that no plan needs any more."""
+    files, where = _at(table.sparkSession, table.scratch_path)
+    files.delete(where, True)
 
 
 def text_of(c: str | Column) -> Column:

@@ -10,8 +10,9 @@ shard of its anchor, the second to a shard of second copies.
 A shard's suffixes are sorted by Larsson-Sadakane refinement, Kasai's pass gives common prefixes, and a window repeats
 that shares `length` bytes with the next or the last window in order. The shard of second copies is merged into it by
 binary search: a run repeats as a whole if the search finds its bytes. Hashes only choose shards and stand for further
-copies of a run whose two first were compared. An anchor with more than `SHARD_RUNS` different runs is dealt anew: its windows go
-one by one to shards by a hash of their own bytes, so that the work stays in proportion to the windows.
+copies of a run whose two first were compared. An anchor with more than `SHARD_RUNS` different runs has several shards.
+These aren't merged pair by pair: what each leaves open, with one of every group of equal windows that it found, goes window by
+window to a place named by a hash of its bytes, where copies from two shards are again compared by binary search.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps every byte; matches don't cross rows;
 rows that repeat are each other's copies and lose all windows; ids play no part in what is removed; texts of any length
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import plain_names, read, written
+from tessera.llm.common import dropped, plain_names, read, written
 from tessera.llm.suffixes import PAD, common_prefixes, eights, found_in, padded, suffix_array
 from tessera.llm.words import lean, parts, ragged
 
@@ -41,9 +42,9 @@ GRAM = 32
 #: Bytes that are scanned at once; places in a piece fit 20 bits.
 PIECE = 1 << 19
 PLACES = (1 << 20) - 1
-#: Different runs of an anchor beyond which its windows are dealt one by one, and bytes of a shard.
-SHARD_RUNS = 512
-SHARD_BYTES = 500_000
+#: Different runs of an anchor in one shard, and bytes of a shard that holds several anchors.
+SHARD_RUNS = 2048
+SHARD_BYTES = 250_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -158,22 +159,21 @@ class Shard:
     def __init__(self, texts: list[bytes], windows: np.ndarray):
         self.starts, self.ends, text = _end_to_end(texts)
         self.words, self.text = eights(text), text
-        self.order, self.rank = suffix_array(self.words)
+        self.order, _ = suffix_array(self.words)
         edge = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(edge, self.starts, 1)
         np.add.at(edge, self.starts + windows, -1)
         self.is_window = np.cumsum(edge)[:-1].astype(bool)
 
-    def repeats(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all windows, and how many bytes (up to depth) each shares with the window next to it in order."""
-        prefix = common_prefixes(eights(self.text, False), self.order, self.rank, depth)
-        at = np.flatnonzero(self.is_window[self.order])
-        # what two windows share is the least of the common prefixes between them
-        shared = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.empty(0, np.int64)
-        most = np.empty(len(self.words), np.int64)
-        most[self.order[at]] = np.maximum(np.r_[0, shared], np.r_[shared, 0])
+    def repeats(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all windows, and how many bytes (up to depth) each shares with the windows before and behind it in order."""
+        order = self.order[self.is_window[self.order]]
+        shared = common_prefixes(eights(self.text, False), order, depth)
+        before, behind = np.empty((2, len(self.words)), np.int64)
+        before[order], behind[order] = shared, np.r_[shared[1:], 0]
         places = np.flatnonzero(self.is_window)
-        return places, np.minimum(most[places], self.ends[np.searchsorted(self.starts, places, "right") - 1] - places)
+        room = self.ends[np.searchsorted(self.starts, places, "right") - 1] - places
+        return places, np.minimum(before[places], room), np.minimum(behind[places], room)
 
     def met_by(self, texts: list[bytes]) -> np.ndarray:
         """Which of other shard's runs are runs of this one: found by binary search in its order, to their ends."""
@@ -190,143 +190,150 @@ def _end_to_end(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ends - sizes, ends - 1, padded(b"\xff".join(texts) + b"\xff")
 
 
-def _judged(rows: list[tuple], second: dict[int, bytes], lengths: tuple[int, int]) -> pa.RecordBatch:
-    """rows (level, anchor, frag, windows, bytes) of a shard, and the second copies of some -> level, anchor, frag, spots."""
+FOUND = "kind int, anchor long, frag long, spots array<array<int>>, at int, name long, open boolean, name_far long, open_far boolean"
+
+
+def _judged(rows: list[tuple], second: dict[int, bytes], lengths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """rows (anchor, sub, frag, windows, bytes) of a shard, and the second copies of some -> rows of FOUND.
+
+    Of kind 0 are runs with the stretches of windows that repeat, for either length. Of kind 1, for an anchor that has
+    other shards (sub isn't null), are the windows that may repeat in these: open ones, and one of each group found here,
+    with a hash of their bytes for either length (null if the window isn't among these for that length).
+    """
     short, long = lengths
     shard = Shard([r[4] for r in rows], np.array([r[3] for r in rows]))
-    places, shared = shard.repeats(long)
+    places, before, behind = shard.repeats(long)
+    run = np.repeat(np.arange(len(rows)), [r[3] for r in rows])
+    at, room = places - shard.starts[run], shard.ends[run] - places
+    asked = np.array(list(second), np.int64)
+    whole = np.zeros(len(rows), bool)
+    if len(asked):
+        whole[asked[shard.met_by(list(second.values()))]] = True
+    hits = [((np.maximum(before, behind) >= n) | whole[run]) & (room >= n) for n in lengths]
     cuts = np.searchsorted(places, shard.starts[1:])
-    whole = set(np.array(list(second), np.int64)[shard.met_by(list(second.values()))].tolist()) if second else set()
-    out = []
-    for k, (row, p, s) in enumerate(zip(rows, np.split(places - np.repeat(shard.starts, [r[3] for r in rows]), cuts), np.split(shared, cuts), strict=True)):
-        if k in whole:
-            found = [[0, min(row[3], len(row[4]) - n + 1)] if len(row[4]) >= n else [] for n in (short, long)]
-        else:
-            found = [_spots(hit) if len(hit := p[s >= n]) else [] for n in (short, long)]
-        if found[0]:
-            out.append((*row[:3], found))
-    level, anchor, frag, spots = zip(*out, strict=True) if out else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(anchor, pa.int64()), pa.array(frag, pa.int64()), pa.array(spots, pa.list_(pa.list_(pa.int32())))], names=["level", "anchor", "frag", "spots"])
+    found = [[_spots(p[h]) if h.any() else [] for p, h in zip(np.split(at, cuts), np.split(hit, cuts), strict=True)] for hit in hits]
+    some = [k for k in range(len(rows)) if found[0][k]]
+    none = [None] * len(some)
+    yield _table([0] * len(some), [rows[k][0] for k in some], [rows[k][2] for k in some], [[f[k] for f in found] for k in some], none, none, none, none, none)
+    shared = np.array([r[1] is not None for r in rows])[run]
+    view = memoryview(shard.text)
+
+    def named(part: np.ndarray, n: int, hit: np.ndarray) -> list[pa.Array]:
+        """Names of windows that are the first here with their bytes, and whether they are open."""
+        asked = (room[part] >= n) & (before[part] < n)
+        names = np.zeros(len(part), np.uint64)
+        names[asked] = [xxhash.xxh64_intdigest(view[a : a + n]) for a in places[part][asked].tolist()]
+        return [pa.array(names.view(np.int64), mask=~asked), pa.array(~hit[part], mask=~asked)]
+
+    wanted = np.flatnonzero(shared & ((before < short) | (room >= long) & (before < long)))
+    for part in np.array_split(wanted, 1 + len(wanted) // 65_536) if len(wanted) else []:
+        far = named(part, long, hits[1]) if long > short else [[None] * len(part)] * 2
+        yield _table([1] * len(part), [rows[k][0] for k in run[part]], [rows[k][2] for k in run[part]], [None] * len(part), at[part], *named(part, short, hits[0]), *far)
+
+
+def _table(*columns) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _matched(copies: DataFrame, lengths: tuple[int, int]) -> DataFrame:
-    """First and second copies with their bytes -> level, anchor, frag, spots (for either length) of runs that repeat in part."""
+    """First and second copies (anchor, sub, frag, copy, windows, bytes) -> rows of FOUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         second: dict[int, bytes] = {}
         size, last = 0, None
         for batch in batches:
-            for level, anchor, frag, copy, windows, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last == (level, anchor, frag, copy):
+            for anchor, sub, frag, copy, windows, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last == (anchor, sub, frag, copy):
                     continue  # of a row that the corpus repeats as a whole
-                if held and (level != last[0] or size >= SHARD_BYTES and anchor != last[1]):
-                    yield _judged(held, second, lengths)
+                # shards of one anchor aren't laid together, as its windows are open towards the other ones
+                if held and (anchor, sub) != last[:2] and (size >= SHARD_BYTES or anchor == last[0]):
+                    yield from _judged(held, second, lengths)
                     held, second, size = [], {}, 0
-                last = (level, anchor, frag, copy)
+                last = (anchor, sub, frag, copy)
                 if copy:
                     second[len(held) - 1] = raw
                 else:
-                    held.append((level, anchor, frag, windows, raw))
+                    held.append((anchor, sub, frag, windows, raw))
                     size += len(raw)
         if held:
-            yield _judged(held, second, lengths)
+            yield from _judged(held, second, lengths)
 
-    dealt = copies.repartition("anchor").sortWithinPartitions("level", "anchor", "frag", "copy")
-    return dealt.select("level", "anchor", "frag", "copy", "windows", "bytes").mapInArrow(lean(run), "level int, anchor long, frag long, spots array<array<int>>")
+    dealt = copies.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "frag", "copy")
+    return dealt.select("anchor", "sub", "frag", "copy", "windows", "bytes").mapInArrow(lean(run), FOUND)
 
 
-def _at_places(keyed: DataFrame, wanted: DataFrame, made, names: list[str], schema: str, chunk: int = 4096) -> DataFrame:
-    """wanted: _key and `names`. made(raw texts, text numbers, keys, columns of `names`) gives the columns of schema, a chunk of places at a time."""
-    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct(*names)).alias("_runs"))
+def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (_key, start, size, anchor, sub, frag, copy, windows): gives them with their bytes."""
+    names = ["anchor", "sub", "frag", "copy", "windows", "bytes"]
+    lists = wanted.groupBy("_key").agg(F.collect_list(F.struct("start", "size", *names[:-1])).alias("_runs"))
     columns = keyed.columns
-    out = [c.split()[0] for c in schema.split(", ")]
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
         for batch in (part for whole in batches for part in parts(whole, at)):
-            key, raw, places = batch.column(columns.index("_key")), batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(columns))
+            places = batch.column(len(columns))
             row = np.repeat(np.arange(len(batch)), np.asarray(places.value_lengths()))
             every = places.flatten()
-            for k in range(0, len(row), chunk):
-                cut = slice(k, k + chunk)
-                found = list(made(raw, row[cut], key.take(pa.array(row[cut])), every.slice(k, chunk)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=out)
+            raw = batch.column(at).cast(pa.binary()).to_pylist()
+            start, size = (np.asarray(every.field(f)) for f in ("start", "size"))
+            for k in range(0, len(row), 4096):
+                cut = slice(k, k + 4096)
+                taken = [raw[r][a : a + n] for r, a, n in zip(row[cut].tolist(), start[cut].tolist(), size[cut].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(every.field(f).slice(k, 4096) for f in names[:-1]), pa.array(taken, pa.binary())], names=names)
 
     # all columns go in, so that this exchange of the texts is the one that the result uses again
-    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(lean(run), schema)
-
-
-def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (_key, start, size, level, anchor, frag, copy, windows): gives them with their bytes."""
-
-    def made(raw, row, _, every):
-        start, size = (np.asarray(every.field(f)).tolist() for f in ("start", "size"))
-        yield from (every.field(f) for f in ("level", "anchor", "frag", "copy", "windows"))
-        yield [raw[r][a : a + n] for r, a, n in zip(row.tolist(), start, size, strict=True)]
-
-    names = ["start", "size", "level", "anchor", "frag", "copy", "windows"]
-    return _at_places(keyed, wanted, made, names, "level int, anchor long, frag long, copy int, windows int, bytes binary")
-
-
-def _windows(keyed: DataFrame, hot: DataFrame, lengths: tuple[int, int]) -> DataFrame:
-    """Every window of the runs in hot as a run of its own, whose anchor hashes all its bytes; level 1 and 2: the shorter and the longer length."""
-
-    def made(raw, row, key, every):
-        keys, starts, levels, sizes, names = [], [], [], [], []
-        start, windows, size = (np.asarray(every.field(f)).tolist() for f in ("start", "windows", "size"))
-        for r, k, a, w, n in zip(row.tolist(), key.to_pylist(), start, windows, size, strict=True):
-            text = memoryview(raw[r])[a : a + n]
-            for level, length in enumerate(dict.fromkeys(lengths), 1):
-                m = min(w, n - length + 1)
-                if m > 0:
-                    names += [xxhash.xxh64_intdigest(text[i : i + length], level) for i in range(m)]
-                    starts += range(a, a + m)
-                    keys += [k] * m
-                    levels += [level] * m
-                    sizes += [length] * m
-        yield keys
-        yield starts
-        yield levels
-        yield sizes
-        yield np.array(names, np.uint64).view(np.int64)
-
-    return _at_places(keyed, hot, made, ["start", "windows", "size"], "_key long, start int, level int, size int, anchor long", 128)
+    return keyed.join(lists, "_key").select(*columns, "_runs").mapInArrow(lean(run), "anchor long, sub int, frag long, copy int, windows int, bytes binary")
 
 
 def _copies(kinds: DataFrame) -> DataFrame:
     """The first copy of each kind, and the second, of those that come more than once."""
-    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("copy"), "p.*"), F.struct(F.lit(1).alias("copy"), "q.*"))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), "p.*")))
-    return kinds.withColumn("_c", F.explode(both)).select("_c._key", "_c.start", "_c.copy", "size", "windows", "level", "anchor", "frag")
-
-
-def spots(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, LENGTH), shard_runs: int | None = None) -> DataFrame:
+    first, second = F.struct(F.lit(0).alias("copy"), "p.*"), F.struct(F.lit(1).alias("copy"), "q.*")
+    both = F.when(F.col("n") > 1, F.array(first, second)).otherwise(F.array(first))
+    return kinds.withColumn("_c", F.explode(both)).select("_c.*", "windows", "anchor", "sub", "frag")
+
+
+def _over_shards(keyed: DataFrame, met: DataFrame, windows: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """Windows that shards of one anchor left open (FOUND, kind 1) -> anchor, frag, spots of those that two shards have."""
+    place, either = F.struct("frag", "at"), ["anchor", "frag", "at"]
+    windows = windows.select(*either, F.lit(0).alias("level"), "name", "open").unionAll(windows.select(*either, F.lit(1).alias("level"), "name_far", "open_far")).where("name is not null")
+    named = windows.groupBy("anchor", "level", "name").agg(F.count("*").alias("n"), F.max("open").alias("_o"), F.min(place).alias("p"), F.max(place).alias("q"))
+    # the name stands for the anchor from here on, the anchor for the run
+    twice = named.where("n > 1 and _o").select(F.col("name"), "level", "anchor", F.explode(F.array(F.struct(F.lit(0).alias("copy"), "p.*"), F.struct(F.lit(1).alias("copy"), "q.*"))).alias("_c")).select("name", "level", "anchor", "_c.*")
+    size = F.element_at(F.array(*map(F.lit, lengths)), F.col("level") + 1)
+    copies = twice.join(met.select("anchor", "frag", "p"), ["anchor", "frag"]).select(
+        F.col("p._key"), (F.col("p.start") + F.col("at")).alias("start"), size.alias("size"), F.xxhash64("anchor", "name", "level").alias("anchor"),
+        F.lit(None).cast("int").alias("sub"), F.lit(0).cast("long").alias("frag"), "copy", F.lit(1).alias("windows"))
+    same = _matched(_taken(keyed, copies), lengths).where("kind = 0").select(F.col("anchor").alias("_n")).distinct()
+    repeat = windows.where("open").withColumn("_n", F.xxhash64("anchor", "name", "level")).join(same, "_n")
+    # windows that follow each other become one stretch
+    after = F.row_number().over(Window.partitionBy("anchor", "frag", "level").orderBy("at"))
+    stretch = repeat.withColumn("_g", F.col("at") - after).groupBy("anchor", "frag", "level", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    cut, none = F.array("a", "b"), F.array().cast("array<int>")
+    if lengths[0] == lengths[1]:
+        return stretch.select("anchor", "frag", F.array(cut, cut).alias("spots"))
+    return stretch.select("anchor", "frag", F.when(F.col("level") == 0, F.array(cut, none)).otherwise(F.array(none, cut)).alias("spots"))
+
+
+def spots(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, LENGTH)) -> DataFrame:
     """keyed (_key, text, ...) -> _key, found: a list of (start, spots for either length) for every key of which something repeats."""
-    shard_runs = shard_runs or SHARD_RUNS
     every = written(runs(keyed, lengths), "runs")
-    ends = [F.count("*").alias("n"), F.min(F.struct("_key", "start")).alias("p"), F.max(F.struct("_key", "start")).alias("q"), F.first("windows").alias("windows"), F.first("size").alias("size")]
-    kinds = every.groupBy("anchor", "frag").agg(*ends, F.max("inner").alias("inner"))
-    several = kinds.groupBy("anchor").agg(F.sum("n").alias("t"), F.max("inner").alias("_i"), F.count("*").alias("kinds")).where("t > 1 or _i").drop("t", "_i")
-    met = written(kinds.join(several, "anchor").withColumn("level", F.lit(0)), "run-kinds")
-    hot = met.where(F.col("kinds") > shard_runs).select("anchor").distinct()
-    found = _matched(_taken(keyed, _copies(met.where(F.col("kinds") <= shard_runs))), lengths)
-    out = every.join(found.drop("level"), ["anchor", "frag"]).select("_key", "start", "spots")
+    several = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("_i")).where("n > 1 or _i").select("anchor"), "anchors")
+    often = written(every.join(several, "anchor", "left_semi").drop("inner"), "runs-met")
+    dropped(every)
+    dropped(several)
+    place = F.struct("_key", "start", "size")
+    kinds = often.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(place).alias("p"), F.max(place).alias("q"), F.first("windows").alias("windows"))
+    count = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_RUNS)
+    sub = F.when(F.col("kinds").isNotNull(), F.pmod(F.xxhash64("frag"), F.expr(f"(kinds + {SHARD_RUNS} - 1) div {SHARD_RUNS}")).cast("int"))
+    met = written(kinds.join(count, "anchor", "left").withColumn("sub", sub).drop("kinds"), "run-kinds")
+    found = written(_matched(_taken(keyed, _copies(met)), lengths), "run-repeats")
+    repeat = found.where("kind = 0").select("anchor", "frag", "spots")
+    hot = met.where("sub is not null")
     if not hot.isEmpty():
-        single = written(_windows(keyed, every.join(hot, "anchor"), lengths), "windows")
-        kinds = single.withColumn("windows", F.lit(1)).groupBy("level", "anchor").agg(*ends).where("n > 1").withColumn("frag", F.col("anchor"))
-        met = _matched(_taken(keyed, _copies(kinds)), lengths).where(F.size(F.element_at("spots", F.col("level"))) > 0)
-        again = single.join(met.select("level", "anchor"), ["level", "anchor"])
-        # windows that follow each other become one stretch
-        after = F.row_number().over(Window.partitionBy("_key", "level").orderBy("start"))
-        stretch = again.select("_key", "level", "start").distinct().withColumn("_g", F.col("start") - after).groupBy("_key", "level", "_g").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("w"))
-        none, all_ = F.array().cast("array<int>"), F.array(F.lit(0), F.col("w"))
-        if lengths[0] == lengths[1]:
-            found = F.array(all_, all_)
-        else:
-            found = F.when(F.col("level") == 1, F.array(all_, none)).otherwise(F.array(none, all_))
-        out = out.unionAll(stretch.select("_key", "start", found.alias("spots")))
-    return out.groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
+        repeat = repeat.unionAll(_over_shards(keyed, hot, found.where("kind = 1"), lengths))
+    return often.join(repeat, ["anchor", "frag"]).groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
 
 
 def _covered(found: list[dict] | None, length: int, which: int = 0) -> list[tuple[int, int]]:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessera.llm.words import ragged
+
 PAD = 8
 
 
@@ -63,21 +65,24 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
 
 
-def common_prefixes(little: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(little: np.ndarray, order: np.ndarray, depth: int, lanes: int = 4096) -> np.ndarray:
     """Kasai: for each place in order, the length of the common prefix with the suffix before it, depth at most.
 
-    The text is cut into lanes that advance together. In each, a suffix shares at least one byte less with the suffix
-    before it in order than the text's previous suffix did, so what is known is never compared again.
+    order may list some of the suffixes only. The listed stretches of text are cut into lanes that advance together. In
+    each, a suffix shares at least one byte less with the suffix before it in order than the text's previous suffix did
+    (if the one behind that one's neighbour is listed too), so what is known is never compared again.
     """
-    n = len(order)
-    out = np.zeros(n, np.int64)
-    if not n:
+    n, out = len(little), np.zeros(len(order), np.int64)
+    if not len(order):
         return out
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    step = max(64, -(-n // lanes))
-    place = np.arange(0, n, step)
-    stop = np.minimum(place + step, n)
+    before, rank = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    before[order[1:]], rank[order] = order[:-1], np.arange(len(order))
+    listed = np.flatnonzero(rank >= 0)
+    first = np.flatnonzero(np.r_[True, np.diff(listed) > 1])
+    sizes, step = np.diff(np.r_[first, len(listed)]), max(64, -(-len(order) // lanes))
+    cuts = -(-sizes // step)
+    place = ragged(np.zeros(len(first), np.int64), cuts) * step + np.repeat(listed[first], cuts)
+    stop = np.minimum(place + step, np.repeat(listed[first] + sizes, cuts))
     have = np.zeros(len(place), np.int64)
     while len(place):
         other = before[place]
@@ -85,15 +90,14 @@ def common_prefixes(little: np.ndarray, order: np.ndarray, rank: np.ndarray, dep
         can = (other >= 0) & (have < depth) & (np.maximum(a, b) < n)
         got = np.zeros(len(place), np.int64)
         c = np.flatnonzero(can)
-        got[c] = agreeing(little[a[c]], little[b[c]])
         # no common prefix may run past the end of the text
-        got = np.minimum(got, np.where(can, n - np.maximum(a, b), 0))
+        got[c] = np.minimum(agreeing(little[a[c]], little[b[c]]), n - np.maximum(a[c], b[c]))
         have = np.minimum(have + got, depth)
         done = (got < 8) | (have >= depth)
         d = np.flatnonzero(done)
         out[rank[place[d]]] = have[d]
         place[d] += 1
-        have[d] = np.maximum(have[d] - 1, 0)
+        have[d] = np.where(rank[other[d] + 1] >= 0, np.maximum(have[d] - 1, 0), 0)
         if (place >= stop).any():
             stay = place < stop
             place, stop, have = place[stay], stop[stay], have[stay]

@@ -223,10 +223,13 @@ def test_suffix_arrays_prefixes_and_search():
         words = eights(padded(text))
         order, rank = suffix_array(words)
         assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
-        got = common_prefixes(eights(padded(text), False), order, rank, 24, lanes=3)
+        got = common_prefixes(eights(padded(text), False), order, 24, lanes=3)
         for k in range(1, n):
             a, b = text[order[k - 1] :], text[order[k] :]
             assert got[k] == min(24, next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+        some = order[rng.random(n) < 0.6]  # the least of the prefixes between two listed suffixes
+        want = [min(got[rank[x] + 1 : rank[y] + 1]) for x, y in zip(some[:-1], some[1:], strict=True)]
+        assert common_prefixes(eights(padded(text), False), some, 24, lanes=3)[1:].tolist() == want
         whole = order[order + 8 <= n]
         asked = np.arange(max(0, n - 7))
         hit = found_in(words, asked, words, whole, 8)
@@ -261,9 +264,9 @@ def removed_rows(rows, length, passage):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "passage", "most"), [(40, 36, 512), (400, 250, 512), (400, 250, 1), (60, 60, 1), (60, 40, 3)])
+@pytest.mark.parametrize(("length", "passage", "most"), [(40, 36, 2048), (400, 250, 2048), (400, 250, 1), (60, 60, 1), (60, 40, 3)])
 def test_repeats_against_every_window(docs, rows, monkeypatch, length, passage, most):
-    monkeypatch.setattr(repeats, "SHARD_RUNS", most)  # 1: all anchors of several runs are dealt by windows
+    monkeypatch.setattr(repeats, "SHARD_RUNS", most)  # 1: every run of an anchor of several lies in a shard of its own
     assert sorted(map(tuple, repeats.removed(docs, length, passage).collect()), key=str) == removed_rows(rows, length, passage)
 
 
