@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -29,5 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        last, edges = edges, written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        dropped(last)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -210,31 +210,46 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("k", "sub").sortWithinPartitions("k", "sub", "_fp").select("k", "sub", "_fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def rooted(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, keep..., _fp, root for every row: the smallest fingerprint that links reach, which is the component itself."""
+def _grouped(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row (doc_id, keep..., _fp), and (node, root): the smallest fingerprint that links reach, the component itself."""
     prints = written(fingerprints(docs, "doc_id", *keep, shingle=shingle), "simhash")
-    root = components(links(prints.select("_fp").distinct(), radius))
-    return prints.join(root, F.col("_fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_fp")).drop("node")
+    return prints, written(components(links(prints.select("_fp").distinct(), radius)), "simhash-roots")
+
+
+def _firsts(prints: DataFrame, roots: DataFrame, first: Column) -> DataFrame:
+    """(_fp, root, f) of distinct fingerprints: f is the least `first` of all rows of the component.
+
+    Rows are counted down to fingerprints, and fingerprints to components, by aggregates that combine before they
+    shuffle. Both sides of the joins are tables, so that adaptive execution can split a component with a third of all.
+    """
+    own = prints.groupBy("_fp").agg(F.min(first).alias("f"))
+    own = written(own.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("root"), "f"), "simhash-own")
+    least = written(own.groupBy("root").agg(F.min("f").alias("f")), "simhash-least")
+    return own.drop("f").join(least, "root")
 
 
 def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, keep..., _fp, component_id for every row: the smallest doc_id of all rows that links reach."""
-    named = rooted(docs, *keep, radius=radius, shingle=shingle)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").drop("root")
+    prints, roots = _grouped(docs, *keep, radius=radius, shingle=shingle)
+    least = written(_firsts(prints, roots, F.col("doc_id")).select("_fp", F.col("f").alias("component_id")), "simhash-components")
+    return prints.join(least, "_fp")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs, of each component only the first by doc_id; components that share a doc_id or have none stay apart."""
+    """The rows of docs, of each component only the first by doc_id (null ids last, then by a hash of the text).
+
+    Components that share a doc_id or have none stay apart; of rows that repeat as a whole one stays; an empty table
+    gives an empty one.
+    """
     docs, old_names = plain_names(docs, "doc_id", "text")
     marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = rooted(marked, "_key")
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_key"))).alias("f"))
-    stay = first.select(F.col("f.doc_id").alias("_d"), F.col("f._key").alias("_k"))
+    prints, roots = _grouped(marked, "_key")
+    first = _firsts(prints, roots, F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_key")))
+    stay = written(first.select(F.col("f.doc_id").alias("_d"), F.col("f._key").alias("_k")).distinct(), "simhash-stay")
     # rows that repeat as a whole: the count of each that stays
-    times = groups.groupBy("doc_id", "_key").agg(F.count("*").alias("_n"))
-    stay = stay.join(times, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key"))).select("_d", "_k", "_n")
-    met = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    same = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key"))
+    times = prints.join(stay, same).groupBy("_d", "_k").agg(F.count("*").alias("_n"))
+    met = marked.join(times, same)
     once, more = met.where("_n = 1"), met.where("_n > 1").dropDuplicates(["doc_id", "_key"])
     return once.unionAll(more).select(*old_names)
 

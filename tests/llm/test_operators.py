@@ -412,3 +412,39 @@ def test_fingerprints_of_neighbours(spark, docs, rows, ranges):
         want.append((r[0], len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, near(a, b), near(a, c)))
     assert sorted(map(tuple, phrases.neighbours(docs, ranges).collect()), key=str) == sorted(want, key=str)
     assert phrases.neighbours(docs.limit(0)).count() == 0
+
+
+def test_phrases_signature_and_likeness_are_as_stated(rows):
+    """The parse over tuples of words, minimum hashes in plain integers, and the text form, apart from the operator's code."""
+    top = (1 << 64) - 1
+
+    def phrases_of(text):
+        known, now = set(), ()
+        for word in (w[k : k + 8] for w in text.split() for k in range(0, len(w), 8)):
+            now += (word,)
+            if now not in known:
+                known.add(now)
+                now = ()
+        return known
+
+    def name_of(phrase):
+        state = 0x9E3779B97F4A7C15
+        for w in phrase:
+            state = (state ^ xxhash.xxh3_64_intdigest(w.encode())) * 0xBF58476D1CE4E5B9 & top
+        return state
+
+    for text in [r[1] for r in rows if r[1]] + ["a b a b a b a b", "x" * 100]:
+        names = [n ^ n >> 31 for n in map(name_of, phrases_of(text))]
+        places = [min((n * int(a) + int(b) & top) for n in names) >> 40 & 0xFFFF if names else 0xFFFF for a, b in zip(phrases.TIMES, phrases.PLUS, strict=True)]
+        assert phrases.fingerprint(text) == "".join(f"{p:04x}" for p in places)
+
+
+def test_fingerprints_of_long_texts_and_words(spark, monkeypatch):
+    long = prose(40_000, 5) + "\t" + "q" * 3001 + " " + prose(50, 6)
+    want = phrases.fingerprint(long)
+    monkeypatch.setattr(phrases, "CHUNK", 1024)
+    assert phrases.fingerprint(long) == want and phrases.fingerprint("\u3000" + long) == want
+    got = {r.doc_id: r for r in phrases.neighbours(spark.createDataFrame([(2, long), (1, long), (0, "z" * 5_000_000)], "doc_id long, text string")).collect()}
+    assert got[2].fingerprint == got[1].fingerprint == want and got[2].near_next == 1 and got[0].n_chars == 5_000_000
+    edited = long[: len(long) - len(long) // 2] + long[: len(long) // 2]
+    assert got[2].edited_fingerprint == phrases.fingerprint(edited)
