@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Paths of the tables that `written` made, where `written_alone` asks for them.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -56,6 +62,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     until_the_end(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return table
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, written; the tables that it wrote on its way are removed then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        table = written(make(), name)
+    finally:
+        _made.reset(token)
+    for path in made:
+        if path != table.scratch_path:
+            files, where = _at(table.sparkSession, path)
+            files.delete(where, True)
     return table
 
 

@@ -10,7 +10,7 @@ Everything is DataFrame expressions. Only sizes and offsets are shuffled, unless
 Prefix sums run in two levels (bucket totals, then inside a bucket), so no source's rows meet in one task.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, weighed last; rows
-that repeat are mixed as separate documents; an empty table gives an empty result; other columns are ignored by
+that repeat are mixed as separate documents; of sources that reach their cap at the same level, the first by code point counts first; an empty table gives an empty result; other columns are ignored by
 `mix` and kept by `mixed_documents`.
 """
 
@@ -26,8 +26,8 @@ SHARE = 1.5
 CAP = 2.0
 BLOCK = 128
 SHARDS = 256
-#: Buckets of a source, for the two-level prefix sums.
-BUCKETS = 1024
+#: For the two-level prefix sums: documents to a bucket, and buckets of a source at least.
+BUCKET, BUCKETS = 50_000, 1024
 #: Slots that one row gives when slots are listed.
 CHUNK = 4096
 #: Multipliers of the index permutations; a prime is coprime to every count that it doesn't divide.
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return found.withColumn("target", F.least(F.col("_top"), F.coalesce(F.col("_w") * fixed["_level"], F.col("_top")))).select("source", "source_size", "target")
 
 
-def pack(docs: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     """Adds _start: the place of the document's first word among its source's words. Needs source, doc_id and size."""
     mixed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     sums = mixed.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
@@ -65,6 +65,11 @@ def pack(docs: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
     return placed.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb"))).withColumn("_start", F.col("_base") + F.col("_in")).drop("_h", "_b", "_bb", "_s", "_base", "_in")
 
 
+def _buckets(docs: DataFrame) -> int:
+    """So many that a bucket has about BUCKET documents at most, even of a source that has all."""
+    return max(BUCKETS, docs.count() // BUCKET)
+
+
 def _listed(df: DataFrame, n: Column, name: str, step: int = CHUNK) -> DataFrame:
     """One row for each of 0 .. n-1, in two steps, so that no array is long and the few rows at first don't list all in one task."""
     some = df.withColumn("_n", n).where("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {step}"))))
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")
     aims = _aims(sized, weights, share, cap)
-    packed = pack(sized, seed)
+    packed = pack(sized, seed, _buckets(sized))
     met = _draws(packed, aims, seed, block, shards).select("source", "_start", "doc_id", "size", (F.col("_to") - F.col("_from")).alias("_w"))
     every = packed.select("source", "_start", "doc_id", "size", F.lit(0).cast("long").alias("_w"))
     # rows of size 0 share their start with others; each keeps a row of its own
@@ -132,10 +137,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), F.col("doc_id"), F.col("source"), n_words("text").alias("size"))
     aims = _aims(rows.select("source", "size"), weights, share, cap)
     sized = rows.where("size > 0")
-    met = _draws(pack(sized.select("source", "doc_id", "size"), seed), aims, seed, block, shards)
+    buckets = _buckets(docs)
+    met = _draws(pack(sized.select("source", "doc_id", "size"), seed, buckets), aims, seed, block, shards)
     spans = met.groupBy("source", "_start", "epoch").agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_spans"), F.sum(F.col("_to") - F.col("_from")).alias("_taken"))
     spans = spans.withColumnRenamed("source", "_s").withColumnRenamed("_start", "_at")
-    full = pack(sized, seed).join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at")))
+    full = pack(sized, seed, buckets).join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at")))
     words = F.filter(F.split(text_of(F.col("_row")["text"]), SPACE), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(F.col("_words"), (s["_from"] + 1).cast("int"), (s["_to"] - s["_from"]).cast("int")))), " ")
     text = F.when(F.col("_taken") == F.col("size"), F.col("_row")["text"]).otherwise(cut)

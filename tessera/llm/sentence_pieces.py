@@ -12,7 +12,9 @@ pair across their border would have merged earlier. Pieces of several spaces all
 last, from the left; a run of spaces that is left over is merged so, once for each length.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; decoding gives the text back, but for
-the mark U+2581, which comes back as a space; repeated rows are encoded alike; other columns are no input.
+the mark U+2581, which comes back as a space; repeated rows are encoded alike; other columns are no input. A segment
+longer than `LONG` characters is indexed `INDEXED` bytes at a time and relaxed place by place instead of beside others,
+with the same ids in time and memory that grow with its length.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from tessera.llm.words import lean, parts, ragged
 #: Distinct segments whose ids a task keeps, and bytes of new ones that are indexed at once.
 CACHED = 200_000
 INDEXED = 400_000
+#: Characters beyond which a segment is relaxed by itself.
+LONG = 4000
 NEVER = np.int64(1) << 40
 #: Bits of the table of pairs.
 TABLE = 20
@@ -73,6 +77,7 @@ class Merges:
                 a, b = self.rank.get(p[:k]), self.rank.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * n + b] = self.rank[p]
+        self.pairs = pairs
         # a table of keys by hash; what doesn't fit its place goes to the next free one
         self.table, self.joined, self.probes = np.full((1 << TABLE) + 64, -1, np.int64), np.full((1 << TABLE) + 64, NEVER, np.int64), 1
         keys = np.array(list(pairs), np.int64)
@@ -145,6 +150,25 @@ class Merges:
             live, a, b, limit = live[stay], a[stay], b[stay], limit[stay]
         return out
 
+    def one_may_follow(self, a: int, b: int) -> bool:
+        """may_follow for one pair."""
+        n, limit, joined, singles = len(self.ids), int(NEVER), self.pairs.get, self.singles
+        left, right = self.halves
+        while a >= 0 and b >= 0:
+            if joined(a * n + b, limit) < limit:
+                return False
+            if a > b and a >= singles:
+                limit, a = a, right[a]
+            elif b >= singles:
+                limit, b = b + 1, left[b]
+            else:
+                return True
+        return True
+
+    @cached_property
+    def halves(self) -> tuple[list[int], list[int]]:
+        return self.left.tolist(), self.right.tolist()
+
     def edges(self, words: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, piece) of every occurrence of every piece in a text whose suffixes are in order."""
         n = len(self.ids)
@@ -223,6 +247,48 @@ def encode_segments(by: Merges, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.bincount(which, many, len(texts)).astype(np.int64), ids
 
 
+def encode_long(by: Merges, text: str) -> np.ndarray:
+    """Ids of one long segment: the same edges and the same relaxation, for a stretch of the text after the other."""
+    raw, longest, sizes = text.encode(), int(by.sizes.max()), by.sizes.tolist()
+    n = len(raw)
+    last, before, known = array("i", [-2]) * (n + 1), array("H", [0]) * (n + 1), {}
+    for base in range(0, n, INDEXED):
+        stretch = padded(raw[base : base + INDEXED + longest])
+        words = eights(stretch)
+        place, piece = by.edges(words, suffix_array(words)[0])
+        by_place = np.argsort(place, kind="stable")
+        place, piece = place[by_place], piece[by_place]
+        cuts = np.searchsorted(place, np.arange(min(INDEXED, n - base) + 1)).tolist()
+        piece = piece.tolist()
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            at = base + k
+            if raw[at] & 0xC0 == 0x80:
+                continue
+            own, single = last[at], False
+            for p in piece[a:b]:
+                single |= p < by.singles
+                size = sizes[p]
+                if at + size <= n:
+                    good = known.get((own, p)) if at else True
+                    if good is None:
+                        if len(known) > CACHED:
+                            known.clear()
+                        good = known[own, p] = by.one_may_follow(own, p)
+                    if good:
+                        last[at + size], before[at + size] = p, size
+            if not single:  # a character that no piece holds
+                size = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                last[at + size], before[at + size] = -1, size
+    out, at = array("I"), n
+    while at:
+        size, p = before[at], last[at]
+        if not size:
+            raise AssertionError("a place without a last piece")
+        out.extend([int(by.ids[p])] if p >= 0 else by.byte[list(raw[at - size : at][::-1])].tolist())
+        at -= size
+    return np.array(out, np.int64)[::-1]
+
+
 class Encoder:
     def __init__(self, path: str):
         self.by, self.words = merges(path), vocabulary(path)
@@ -250,6 +316,10 @@ class Encoder:
         wide = {t: len(t) - len(t.lstrip(" ")) for t in new if t[:2] == "  "}
         if wide:
             new = [t for t in dict.fromkeys(t[wide[t] - 1 :] if t in wide else t for t in new) if t not in self.known]
+        for t in [t for t in new if len(t) > LONG]:
+            ids = encode_long(self.by, t)
+            self.learn([t], np.array([len(ids)]), ids)
+        new = [t for t in new if len(t) <= LONG]
         for cut in np.split(np.arange(len(new)), np.flatnonzero(np.diff(np.cumsum([len(t) for t in new]) // INDEXED)) + 1) if new else []:
             some = [new[k] for k in cut.tolist()]
             self.learn(some, *encode_segments(self.by, some))

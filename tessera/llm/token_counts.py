@@ -6,7 +6,9 @@ share the prefix, and a node where a pre-token ends keeps the count of pieces of
 is the sum over its pre-tokens. Of paths of equal score, the one with the longer last piece wins. A character that no
 piece is counts as one piece for each of its bytes, at 10 below the smallest score.
 
-Defined results: a null or empty text has 0 tokens; repeated rows count alike; other columns are no input.
+Defined results: a null or empty text has 0 tokens; repeated rows count alike; other columns are no input. The trie is
+`DEEP` characters deep: what a longer pre-token has beyond is scored without nodes, in memory that doesn't grow with
+it, by the same steps; a trie of `NODES` nodes is cleared before the next pre-token.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tessera.llm.words import parts
 
 #: Nodes and pre-tokens that a task keeps.
 NODES = 500_000
+#: Characters of a pre-token that get nodes.
+DEEP = 200
 PENALTY = 10.0
 
 
@@ -41,31 +45,39 @@ class Trie:
 
     def add(self, token: str) -> int:
         """Puts a pre-token in; gives the count of its best path."""
-        child, best, count, node = self.child, self.best, self.count, 0
-        path = [0]
+        if len(self.best) > NODES:
+            self.clear()
+        child, node, longest = self.child, 0, self.longest
+        # what is known of the last prefixes, of which no piece reaches further back
+        best, count = [0.0] * (longest + 1), [0] * (longest + 1)
         for depth, c in enumerate(token, 1):
+            at = depth % (longest + 1)
+            if depth > DEEP:
+                best[at], count[at] = self.forward(token, depth, best, count)
+                continue
             key = node << 21 | ord(c)
             node = child.get(key)
             if node is None:
-                node = child[key] = len(best)
-                top, n = self.forward(token, depth, path)
-                best.append(top)
-                count.append(n)
-            path.append(node)
+                node = child[key] = len(self.best)
+                top, n = self.forward(token, depth, best, count)
+                self.best.append(top)
+                self.count.append(n)
+            best[at], count[at] = self.best[node], self.count[node]
+        n = count[len(token) % (longest + 1)]
         if len(self.ends) < NODES:
-            self.ends[token] = count[node]
-        return count[node]
+            self.ends[token] = n
+        return n
 
-    def forward(self, token: str, depth: int, path: list[int]) -> tuple[float, int]:
-        """Best score and its pieces of token[:depth], from those of the shorter prefixes."""
-        get, best, count = self.score.get, self.best, self.count
+    def forward(self, token: str, depth: int, best: list[float], count: list[int]) -> tuple[float, int]:
+        """Best score and its pieces of token[:depth], from those of the shorter prefixes (by their length, modulo)."""
+        get, round_ = self.score.get, self.longest + 1
         top, n = -np.inf, 0
         for start in range(max(0, depth - self.longest), depth):
             own = get(token[start:depth])
-            if own is not None and (x := best[path[start]] + own) > top:
-                top, n = x, count[path[start]] + 1
-        if token[depth - 1] not in self.score and (x := best[path[depth - 1]] + self.unknown) > top:
-            top, n = x, count[path[depth - 1]] + len(token[depth - 1].encode())
+            if own is not None and (x := best[start % round_] + own) > top:
+                top, n = x, count[start % round_] + 1
+        if token[depth - 1] not in self.score and (x := best[(depth - 1) % round_] + self.unknown) > top:
+            top, n = x, count[(depth - 1) % round_] + len(token[depth - 1].encode())
         return top, n
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +85,6 @@ class Trie:
         rows, tokens, which = segments(texts)
         get = self.ends.get
         each = np.array([n if (n := get(t)) is not None else self.add(t) for t in tokens.to_pylist()], np.int64)
-        if len(self.best) > NODES:
-            self.clear()
         found = np.bincount(rows, each[which] if len(each) else None, len(texts)) if len(rows) else np.zeros(len(texts))
         return found.astype(np.int64), np.bincount(rows, minlength=len(texts)).astype(np.int64)
 

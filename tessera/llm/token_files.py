@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, scratch
+from tessera.llm.common import read, scratch, until_the_end, written
 from tessera.llm.words import parts, ragged, split
 
 BLOCK = 256
@@ -234,6 +234,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(run, "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_FRAMES).text(path)
+    until_the_end(docs.sparkSession, path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -241,11 +242,6 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 1).cast("long"), F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 2).cast("long")
     files = spark.read.format("binaryFile").load(path).select(name[0].alias("part"), name[1].alias("piece"), "content")
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [sum(m for _, m, _ in frames(memoryview(x.as_buffer()), False)) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["_part", "_piece", "_n"])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, piece, content in zip(*batch.columns, strict=True):
@@ -260,9 +256,11 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                         names=["part", "piece", "doc_id", "_at", "n_tokens", "ids_crc32"])
                     at += m
 
+    # each file is read once; its documents, without their ids, are kept
+    found = written(files.mapInArrow(rows, "part long, piece long, doc_id long, _at long, n_tokens long, ids_crc32 long"), "token-rows")
+    sums = found.groupBy(F.col("part").alias("_part"), F.col("piece").alias("_piece")).agg(F.sum("n_tokens").alias("_n"))
     # one row per file
-    sums = files.mapInArrow(totals, "_part long, _piece long, _n long").withColumn("_before", F.sum("_n").over(Window.orderBy("_part", "_piece")) - F.col("_n"))
-    found = files.mapInArrow(rows, "part long, piece long, doc_id long, _at long, n_tokens long, ids_crc32 long")
+    sums = sums.withColumn("_before", F.sum("_n").over(Window.orderBy("_part", "_piece")) - F.col("_n"))
     met = found.join(sums, (F.col("part") == F.col("_part")) & (F.col("piece") == F.col("_piece")))
     return met.select("doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 

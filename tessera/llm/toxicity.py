@@ -31,6 +31,8 @@ from tessera.llm.words import parts, ragged, split
 
 #: About so many labelled documents at most are fitted on, chosen by a hash of their id.
 SAMPLE = 6000
+#: Bytes of theirs at most, and of one of them.
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20
 #: A gram needs to be in so many toxic ones to have a weight.
 LEAST = 3
 FOLDS = 5
@@ -159,28 +161,51 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of labelled rows that are not held out. At most about `sample` texts reach the driver."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of labelled rows that are not held out.
+
+    About `sample` texts of `sample_bytes` bytes in all reach the driver at most, chosen by a hash of doc_id and text;
+    a text over LONGEST bytes is not learned from. Rows that repeat as a whole count once.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    known = marked.count()
+    million, known = 1_000_000, marked.count()
     if known > sample:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / known))
-    met = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), F.col("_toxic").cast("int").alias("y"))
-    table = met.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < int(million * sample / known))
+    text = F.col("text").cast("string")
+    met = docs.select("doc_id", text.alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    met = met.join(F.broadcast(marked), "doc_id").select("doc_id", "text", F.col("_toxic").cast("int").alias("y"))
+    rows, size = met.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rate = min(1.0, sample / max(rows, 1), sample_bytes / max(size or 0, 1))
+    if rate < 1:
+        met = met.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(million)) < int(million * rate))
+    table = met.distinct().toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(table.column("text").combine_chunks() if len(table) else pa.array([], pa.string()), np.asarray(table.column("y")).astype(np.int64))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_offending, sentence, sentence_score for every row of docs.
+
+    n_offending: sentences that score `least` or more; sentence: the worst one's number among the text's sentences with
+    words, from 0 (the first, of ties; null if the text has none), with its score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 2):
-                p = score(model, part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                s = sentences(part.column(2))
+                each, n = _sentence_scores(model, s), len(part)
+                p = _noisy_or(each, s.row, n)
+                worst = np.lexsort((np.arange(len(each)), -each, s.row))
+                first = worst[np.flatnonzero(np.r_[True, s.row[1:] != s.row[:-1]])] if len(each) else worst
+                which, top, none = np.zeros(n, np.int64), np.zeros(n), np.ones(n, bool)
+                row = s.row[first]
+                which[row], top[row], none[row] = first - np.searchsorted(s.row, row), each[first], False
+                many = np.bincount(s.row, each >= least, n).astype(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(many), pa.array(which, mask=none), pa.array(top, mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", "n_offending", "sentence", "sentence_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_offending long, sentence long, sentence_score double")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -97,6 +97,10 @@ def test_hosts_split_rules_and_bounds(spark):
     assert got[2][:3] == ("", "", None) and got[3][:3] == ("", "", None) and got[4][:3] == ("x.com", "", None)
     assert got[5] == ("example.org", "/en/12", "example.org/en/1", "block") and got[6][:2] == ("u:", "//v/w")
     assert got[7][3] == "block" and got[8][3] == "allow"
+    # repeated rows, ties of rules' lengths and columns that clash
+    clash = pages.unionAll(pages).withColumn("host", F.lit("h")).withColumn("rule", F.lit(1)).withColumn("_k", F.lit(2))
+    twice = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in hosts.judge(clash, seen).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert len(twice) == 2 * len(urls) and {x[0]: tuple(x[1:]) for x in twice} == got
     assert hosts.judge(pages.limit(0), seen).count() == 0 and {r.verdict for r in hosts.judge(pages.where("page_id >= 7"), seen.limit(0)).collect()} == {"allow"}
 
 
@@ -343,23 +347,57 @@ def unigram(text):
     return SentencePieceProcessor(model_proto=out)
 
 
-def test_token_counts_are_best_paths(spark, docs, rows):
+def best_path(segment, score, unknown):
+    """(score, pieces) of the best path over every cut of a segment; of equal paths, that with the longer last piece."""
+    best = [(0.0, 0)]
+    for end in range(1, len(segment) + 1):
+        found = (-np.inf, 0)
+        for start in range(end):
+            if segment[start:end] in score and best[start][0] + score[segment[start:end]] > found[0]:
+                found = best[start][0] + score[segment[start:end]], best[start][1] + 1
+        c = segment[end - 1]
+        if c not in score and best[end - 1][0] + unknown > found[0]:
+            found = best[end - 1][0] + unknown, best[end - 1][1] + len(c.encode())
+        best.append(found)
+    return best[-1]
+
+
+@pytest.mark.parametrize(("deep", "nodes"), [(200, 500_000), (3, 50)])
+def test_token_counts_are_best_paths(spark, docs, rows, monkeypatch, deep, nodes):
+    monkeypatch.setattr(token_counts, "DEEP", deep)
+    monkeypatch.setattr(token_counts, "NODES", nodes)
+    words = token_counts.vocabulary(PIECES)
+    score = {p: float(words.score[i]) for p, i in words.pieces.items()}
+    unknown, known = min(score.values()) - 10, {}
+
+    def count(text):
+        n = 0
+        for part in re.findall(" *[^ \n\t]+|[\n\t]| +", " " + text.replace("▁", " ")) if text else []:
+            if part not in known:
+                known[part] = best_path(part, score, unknown)
+            n += known[part][1]
+        return n
+
     got = token_counts.token_counts(docs, PIECES)
-    assert got.count() == len(rows) and token_counts.token_counts(docs.limit(0), PIECES).count() == 0
-    library, trie = unigram(None), token_counts.Trie(token_counts.vocabulary(PIECES))
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == sorted(((r[0], count(r[1] or "")) for r in rows), key=str)
+    assert token_counts.token_counts(docs.limit(0), PIECES).count() == 0
+    # the library's lattice over the same pieces finds no better path
+    library = unigram(None)
     for word in [*VOCABULARY[:80], "Hello", "日本語", "a-b_c", "12345", "é"]:
-        best = library.nbest_encode(word, nbest_size=2, out_type=int)[0]
-        path_score = sum(trie.score.get(library.id_to_piece(i).replace("▁", " "), trie.unknown) for i in best)
-        trie.add(" " + word)
-        node = 0
-        for c in " " + word:
-            node = trie.child[node << 21 | ord(c)]
-        assert trie.best[node] >= path_score - 1e-6
-    counts = {r.doc_id: r.n_tokens for r in got.collect()}
-    assert counts[60] == 0 and counts[61] == 0
-
-
-def test_sentence_pieces_are_the_librarys(spark, docs, rows):
+        ids = library.nbest_encode(word, nbest_size=2, out_type=int)[0]
+        path = sum(score.get(library.id_to_piece(i).replace("▁", " "), unknown) for i in ids)
+        assert best_path(" " + word, score, unknown)[0] >= path - 1e-6
+
+
+def test_token_counts_of_a_five_megabyte_word(spark):
+    trie = token_counts.Trie(token_counts.vocabulary(PIECES))
+    word = "".join(VOCABULARY[k % 300] for k in range(20_000))
+    assert trie.counts(pa.array([word, word[:50_000]]))[0].tolist()[0] > trie.counts(pa.array([word[:50_000]]))[0].tolist()[0] > 5000
+    trie.counts(pa.array(["q" * 5_000_000]))
+    assert len(trie.best) < 2 * token_counts.NODES
+
+
+def test_sentence_pieces_are_the_librarys(spark, docs, rows, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
     library = SentencePieceProcessor(model_file=PIECES)
@@ -371,10 +409,48 @@ def test_sentence_pieces_are_the_librarys(spark, docs, rows):
     n, flat = encoder.encode(pa.array(odd))
     ends = np.cumsum(n)
     assert all(flat[b - k : b].tolist() == library.encode(t) for t, k, b in zip(odd, n.tolist(), ends.tolist(), strict=True))
+    # a long word is relaxed by itself, a stretch after the other, with the same ids
+    for word in ["".join(rng.choice(VOCABULARY, 900)), "ab" * 3000, "a" * 5001, "日😀x" * 900, "=" * 4500]:
+        assert sentence_pieces.encode_long(encoder.by, " " + word).tolist() == library.encode(word)
+    monkeypatch.setattr(sentence_pieces, "LONG", 5)
+    monkeypatch.setattr(sentence_pieces, "INDEXED", 64)
+    encoder.clear()
+    n, flat = encoder.encode(pa.array(odd + VOCABULARY))
+    ends = np.cumsum(n)
+    assert all(flat[b - k : b].tolist() == library.encode(t) for t, k, b in zip(odd + VOCABULARY, n.tolist(), ends.tolist(), strict=True))
+    monkeypatch.undo()
     back = sentence_pieces.decoded(sentence_pieces.encoded(docs, PIECES, "doc_id"), PIECES, "doc_id")
     assert sorted((r.text for r in back.collect())) == sorted((r[1] or "").replace("▁", " ") for r in rows)
 
 
+def test_toxicity_gradient_and_noisy_or_by_finite_differences():
+    """What pulls at a sentence is the slope of the likelihood of the document labels, here in plain numbers."""
+    values, row, toxic = rng.normal(0, 1, 9), np.array([0, 0, 0, 1, 1, 2, 3, 3, 3]), np.array([1, 0, 1, 0])
+
+    def likelihood(z):
+        p = 1 / (1 + np.exp(-z))
+        total = [1 - np.prod([1 - x for x, r in zip(p, row, strict=True) if r == d]) for d in range(4)]
+        return sum(np.log(t if y else 1 - t) for t, y in zip(total, toxic, strict=True))
+
+    p = toxicity._sigmoid(values)
+    total = toxicity._noisy_or(p, row, 4)
+    assert np.allclose(total, [1 - np.prod(1 - p[row == d]) for d in range(4)])
+    pull = np.where(toxic[row] > 0, p * ((1 - total) / total)[row], -p)
+    step = 1e-6 * np.eye(9)
+    assert np.allclose(pull, [(likelihood(values + e) - likelihood(values - e)) / 2e-6 for e in step], atol=1e-5)
+
+
+def test_toxicity_of_ties_and_repeated_rows(spark):
+    model = toxicity.Model(*[np.array(x) for x in ([], [])], -1.0)
+    model = toxicity.fit(pa.array(["fine day here. so it is."] * 40 + ["you vermin scum. bye now."] * 20), np.r_[np.zeros(40), np.ones(20)].astype(np.int64))
+    rows = [(1, "x. vermin scum. vermin scum. y"), (1, "x. vermin scum. vermin scum. y"), (2, "..."), (3, "fine day")]
+    got = sorted(map(tuple, toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", "n_offending", "sentence", "predicted").collect()), key=str)
+    assert got == [(1, 2, 1, 1), (1, 2, 1, 1), (2, 0, None, 0), (3, 0, 0, 0)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_toxic", F.lit(1)).withColumn("y", F.lit("z"))
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(clash, labels, sample=1, sample_bytes=10).bias <= 0
+
+
 def test_toxicity_learns_from_documents_and_finds_the_sentence(spark):
     words = ["vile", "nasty"]
     docs, marks = [], []
@@ -392,6 +468,7 @@ def test_toxicity_learns_from_documents_and_finds_the_sentence(spark):
     held = [i for i in range(400) if got[i].held_out]
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) / len(held) > 0.95
     where = {r.doc_id: r.sentence for r in toxicity.offending(frame, model).collect()}
+    assert all(got[i].sentence == where[i] for i in where if got[i].n_offending == 1)
     assert sum(where.get(i) == i % 6 for i in range(0, 400, 4)) > 90
     assert toxicity.scored(frame, toxicity.learn(frame, labels.limit(0))).where("score > 0").count() == 0
     assert toxicity.scored(frame.limit(0), model).count() == 0
