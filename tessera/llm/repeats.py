@@ -325,14 +325,15 @@ def spots(keyed: DataFrame, lengths: tuple[int, int] = (LENGTH, LENGTH)) -> Data
     dropped(several)
     place = F.struct("_key", "start", "size")
     kinds = often.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(place).alias("p"), F.max(place).alias("q"), F.first("windows").alias("windows"))
-    count = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_RUNS)
+    kinds = written(kinds, "run-kinds")
+    # a table, so that adaptive execution can split an anchor in the join
+    count = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_RUNS), "anchors-hot")
     sub = F.when(F.col("kinds").isNotNull(), F.pmod(F.xxhash64("frag"), F.expr(f"(kinds + {SHARD_RUNS} - 1) div {SHARD_RUNS}")).cast("int"))
-    met = written(kinds.join(count, "anchor", "left").withColumn("sub", sub).drop("kinds"), "run-kinds")
+    met = kinds.join(count, "anchor", "left").withColumn("sub", sub).drop("kinds")
     found = written(_matched(_taken(keyed, _copies(met)), lengths), "run-repeats")
     repeat = found.where("kind = 0").select("anchor", "frag", "spots")
-    hot = met.where("sub is not null")
-    if not hot.isEmpty():
-        repeat = repeat.unionAll(_over_shards(keyed, hot, found.where("kind = 1"), lengths))
+    if not count.isEmpty():
+        repeat = repeat.unionAll(_over_shards(keyed, met.where("sub is not null"), found.where("kind = 1"), lengths))
     return often.join(repeat, ["anchor", "frag"]).groupBy("_key").agg(F.collect_list(F.struct("start", "spots")).alias("found"))
 
 
