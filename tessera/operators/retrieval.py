@@ -48,8 +48,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 10_000) -> DataFrame:
-    """The k items of the highest cosine to each query, exactly.
+def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 10_000, other: bool = False) -> DataFrame:
+    """The k items of the highest cosine to each query, exactly; with `other`, an item of the query's own key is none.
 
     The queries go to every task in blocks of about max_queries, dealt by their key; each block is one pass over the
     items, and where there are several its result is written to the shared folder before the next begins.
@@ -58,7 +58,7 @@ def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query:
     blocks = -(-given.count() // max_queries)
 
     def block(held: DataFrame) -> DataFrame:
-        pairs = items.select(item, F.col(vector).alias("_v")).join(F.broadcast(held), F.lit(True))
+        pairs = items.select(item, F.col(vector).alias("_v")).join(F.broadcast(held), F.col(query) != F.col(item) if other else F.lit(True))
         scored = pairs.select(query, item, cosine(F.col("_q"), F.col("_v")).alias("score"))
         return top(scored if least is None else scored.where(F.col("score") >= least), query, "score", item, k)
 
@@ -74,9 +74,9 @@ def hybrid(exact: DataFrame, semantic: DataFrame, query: str, item: str, alpha:
     return both.select(query, item, (alpha * a + (1 - alpha) * b).alias("score"))
 
 
-def cache_hits(entries: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, least: float = 0.95) -> DataFrame:
+def cache_hits(entries: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, least: float = 0.95, other: bool = False) -> DataFrame:
     """Each query's nearest entry if it is near enough, else null."""
-    best = nearest(entries, key, vector, queries, query, query_vector, 1, least)
+    best = nearest(entries, key, vector, queries, query, query_vector, 1, least, other=other)
     return queries.select(query).join(best.select(query, key, "score"), query, "left")
 
 
@@ -121,7 +121,7 @@ select item_id, doc_id, sum(ln((n - df + 0.5::double) / (df + 0.5::double) + 1)
 QUERIES = {
     "bm25_top": (lambda s, d: top(bm25(spread(table(s, d, "documents")), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text").withColumn("r", F.round("raw", 6)), "item_id", "r", "doc_id", 5).select("item_id", "doc_id", F.round("raw", 4).alias("raw"), F.round("score", 4).alias("score"), "place"), f"select item_id, doc_id, round(raw, 4) as raw, round(least(1.0::double, least(1.0::double, raw / 10) + l * 0.3::double), 4) as score, cast(place as integer) as place from (select *, row_number() over (partition by item_id order by round(raw, 6) desc, doc_id) as place from {_sql_bm25()}) where place <= 5"),
     "cosine_top": (lambda s, d: nearest(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q", "qv", 10).select("q", "vec_id", F.round("score", 6).alias("score"), "place"), "select q, vec_id, round(score, 6) as score, cast(place as integer) as place from (select a.vec_id as q, b.vec_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as score, row_number() over (partition by a.vec_id order by list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) desc, b.vec_id) as place from embeddings a, embeddings b where a.vec_id % 20 = 0) where place <= 10"),
-    "semantic_cache": (lambda s, d: cache_hits(table(s, d, "embeddings").where("vec_id % 2 = 1"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q", "qv", 0.3).select("q", "vec_id"), "with p as (select a.vec_id as q, b.vec_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as c from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id % 2 = 1), t as (select q, vec_id from p where c >= 0.3 qualify row_number() over (partition by q order by c desc, vec_id) = 1) select e.vec_id as q, t.vec_id from embeddings e left join t on e.vec_id = t.q where e.vec_id % 20 = 0"),
+    "semantic_cache": (lambda s, d: cache_hits(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q", "qv", 0.3, other=True).select("q", "vec_id"), "with p as (select a.vec_id as q, b.vec_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as c from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), t as (select q, vec_id from p where c >= 0.3 qualify row_number() over (partition by q order by c desc, vec_id) = 1) select e.vec_id as q, t.vec_id from embeddings e left join t on e.vec_id = t.q where e.vec_id % 20 = 0"),
     "hybrid_alpha": (lambda s, d: table(s, d, "events").select(query_alpha(F.concat(F.lit("find "), F.col("user_id").cast("string"), F.lit(" and "), F.col("event_id").cast("string"))).alias("alpha")).groupBy("alpha").agg(F.count("*").alias("n")), "select cast(case when a + b >= 2 then 0.75 when a + b = 1 then 0.65 else 0.5 end as double) as alpha, count(*) as n from (select case when user_id >= 1000 then 1 else 0 end as a, case when event_id >= 1000 then 1 else 0 end as b from events) group by 1"),
     "keyword_overlap": (lambda s, d: keyword_overlap(table(s, d, "benchmark"), "item_id", "text", table(s, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k", "text", 4), f"with q as (select item_id, len(list_distinct(t)) as n, unnest(list_distinct(t)) as term from (select item_id, {_T.format(x='text')} as t from benchmark)), i as (select distinct conv_id || '-' || turn as k, unnest({_T.format(x='text')}) as term from conversations) select item_id, k, count(*) as common, round(count(*) / any_value(n), 6) as share from q join i using (term) group by 1, 2 having count(*) >= 4"),
     "query_anchors": (lambda s, d: table(s, d, "orders").select("o_orderkey", F.explode(anchors_of(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of 'cust "), F.col("o_custkey").cast("string"), F.lit("' at db1.example.com")))).alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1000"), "select 'db1.example.com' as a, count(*) as n from orders having count(*) > 1000"),

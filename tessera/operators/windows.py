@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tessera.operators.metrics import requests  # noqa: F401
 from tessera.sources.tables import table
@@ -100,18 +101,29 @@ def drift(requests_: DataFrame, session: str, order: list, axes: list[str]) -> D
 
 
 def token_bucket(calls: DataFrame, key: str, at: str, order: list, capacity: int, per_second: float) -> DataFrame:
-    """Whether a bucket that refills steadily lets each call through: an ordered fold over each key's calls of an hour."""
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    hour = F.date_trunc("hour", at)
-    listed = calls.groupBy(key, hour.alias("hour")).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)]))).alias("calls"))
-    zero = F.struct(F.lit(float(capacity)).alias("level"), F.lit(None).cast("double").alias("t"), F.lit(0).cast("long").alias("passed"))
+    """calls with passed: whether a bucket that refills steadily, and is full at a key's first call, lets each through.
 
-    def step(a, c):
-        level = F.least(F.lit(float(capacity)), a["level"] + F.coalesce((c["t"] - a["t"]) * per_second, F.lit(0.0)))
-        return F.struct(F.when(level >= 1, level - 1).otherwise(level).alias("level"), c["t"].alias("t"), (a["passed"] + F.when(level >= 1, 1).otherwise(0)).alias("passed"))
+    It is an ordered fold (a call that is turned away takes nothing) with a state of two numbers for each key, so rows
+    are sorted by key and time and stream through a task; no key's calls are held together.
+    """
+    given = calls.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).repartition(F.col(key)).sortWithinPartitions(key, "_t", *order)
+    place, when, schema = given.columns.index(key), given.columns.index("_t"), StructType([*given.schema.fields, StructField("passed", BooleanType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, level, last, begun = None, 0.0, 0, False
+        for batch in batches:
+            passed = []
+            for k, now in zip(batch.column(place).to_pylist(), batch.column(when).to_pylist(), strict=True):
+                if k != held or not begun:
+                    held, level, last, begun = k, float(capacity), now, True
+                level, last = min(float(capacity), level + (now - last) / 1e6 * per_second), now
+                passed.append(level >= 1)
+                level -= level >= 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passed, pa.bool_())], names=schema.names)
 
-    done = F.aggregate("calls", zero, step)
-    return listed.select(key, "hour", F.size("calls").cast("long").alias("n"), done["passed"].alias("passed"))
+    return given.mapInArrow(run, schema).drop("_t")
 
 
 _E = ["ts", "event_id"]
@@ -131,5 +143,17 @@ QUERIES = {
     "cache_miss_causes": (lambda s, d: cache_miss(table(s, d, "events").withColumn("read", F.when(F.col("event_type").isin("view", "click"), 1).otherwise(0)), "user_id", _E, "read", "props", "ts", 3600).groupBy("cause").agg(F.count("*").alias("n")), f"select cause, count(*) as n from (select case when row_number() over w = 1 then 'cold' when event_type in ('view', 'click') then 'hit' when epoch_us(ts) - epoch_us(lag(ts) over w) > 3600000000 then 'ttl_expiry' when props <> lag(props) over w then 'prefix_change' else 'unknown' end as cause from events {_W}) group by 1"),
     "sessions_by_gap": (lambda s, d: sessions(table(s, d, "events"), "user_id", "ts", ["event_id"], 6 * 3600), f"select user_id, cast(session as bigint) as session, min(ts) as start, max(ts) as \"end\", count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as session from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) < 21600000000 then 0 else 1 end as new from events {_W})) group by 1, 2"),
     "prefix_drift": (lambda s, d: drift(table(s, d, "events"), "user_id", _E, ["event_type", "props"]).where("drift is not null").groupBy("drift").agg(F.count("*").alias("n")), f"select drift, count(*) as n from (select nullif(concat_ws(',', case when event_type <> lag(event_type) over w then 'event_type' end, case when props <> lag(props) over w then 'props' end), '') as drift from events {_W}) where drift is not null group by 1"),
-    "rate_limit": (lambda s, d: token_bucket(table(s, d, "events"), "event_type", "ts", ["event_id"], 2, 1 / 1200), None),
+    "rate_limit": (
+        lambda s, d: token_bucket(table(s, d, "events"), "user_id", "ts", ["event_id"], 2, 1 / 345600).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("passed").cast("long")).alias("passed")),
+        """
+        with recursive e as (
+            select user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as i from events
+        ), r(user_id, i, t, level, passed) as (
+            select user_id, i, t, 1.0::double, 1 from e where i = 1
+            union all
+            select user_id, i, t, case when now >= 1 then now - 1 else now end, case when now >= 1 then 1 else 0 end
+            from (select e.user_id, e.i, e.t, least(2.0::double, r.level + (e.t - r.t) / 1e6::double * (1.0::double / 345600)) as now from r join e on e.user_id = r.user_id and e.i = r.i + 1)
+        ) select user_id, count(*) as n, cast(sum(passed) as bigint) as passed from r group by 1
+        """,
+    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.content", "operators.metrics", "operators.fields", "operators.windows", "operators.sessions", "operators.selection", "operators.retrieval", "operators.memory", "operators.evals", "operators.compressors", "operators.adaptive", "operators.telemetry", "operators.structure", "streaming.events")
+MODULES = ("operators.content", "operators.metrics", "operators.fields", "operators.windows", "operators.sessions", "operators.selection", "operators.retrieval", "operators.memory", "operators.evals", "operators.compressors", "operators.adaptive", "operators.telemetry", "operators.structure", "operators.routing", "streaming.events")
 
 
 def catalogue() -> dict[str, tuple]:

@@ -19,10 +19,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset) and read back."""
+    """The rows of df, written to the folder that driver and executors share (spark.checkpoint.dir) and read back.
+
+    On a local master a temporary folder will do where that is unset. The table is removed when the session's JVM ends.
+    """
     spark = df.sparkSession
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    top = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tessera-"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="tessera-")
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
