@@ -13,14 +13,15 @@ import hashlib
 import io
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from tessera.functions import detect as D
 from tessera.functions import text as T
@@ -32,7 +33,7 @@ LOG = {"passthrough": 50, "errors": 10, "traces": 3, "trace_lines": 20, "warning
 SEARCH = {"per_file": 5, "total": 30, "files": 15}
 DIFF = {"context": 2, "hunks": 10, "files": 20, "passthrough": 50}
 PROSE = {"ratio": 0.5, "recency": 1.0, "relevance": 2.0, "salience": 1.5, "short": 12, "near": 0.85, "segments": 6}
-CRUSH = {"min_items": 5, "max_items": 15, "first": 0.3, "last": 0.15, "sigma": 2.0, "lossless": 0.15, "core": 0.8}
+CRUSH = {"min_items": 5, "max_items": 15, "first": 0.3, "last": 0.15, "sigma": 2.0, "lossless": 0.15, "core": 0.8, "flatten": 6, "buckets": (2, 8), "bucket_share": 0.7, "mixed": 8}
 LEVELS = (("error", r"\b(ERROR|error|Error|FATAL|fatal|Fatal|CRITICAL|critical)\b"), ("fail", r"\b(FAIL|FAILED|fail|failed|Failed)\b"), ("warn", r"\b(WARN|WARNING|warn|warning|Warning)\b"), ("info", r"\b(INFO|info|Info)\b"), ("debug", r"\b(DEBUG|debug|Debug)\b"), ("trace", r"\b(TRACE|trace|Trace)\b"))
 LEVEL_SCORE = {"error": 1.0, "fail": 1.0, "warn": 0.5, "info": 0.1, "unknown": 0.1, "debug": 0.05, "trace": 0.02}
 FORMATS = {"pytest": r"^(=+ .*(test session|passed|failed)|(PASSED|FAILED) |.*::test_)", "npm": r"^(npm (ERR!|WARN)|> )", "cargo": r"^\s*(Compiling|Finished|error\[E|warning: unused)", "jest": r"^\s*(PASS|FAIL) .*\.(test|spec)\.", "make": r"^make(\[\d+\])?: "}
@@ -219,6 +220,70 @@ def csv_schema(items: list[dict]) -> str:
     return f"[{len(items)}]{{{','.join(f'{k}:{tag_of([x[k] for x in items if k in x])}' for k in columns)}}}\n{out.getvalue()}".rstrip("\n")
 
 
+def flattened(items: list[dict]) -> list[dict]:
+    """Objects whose fields that hold objects of one and the same few keys in every item that has them are replaced by a field for each key."""
+    done: set[str] = set()
+    while True:
+        for k in dict.fromkeys(k for x in items for k in x):
+            inner = [x[k] for x in items if k in x]
+            keys = {tuple(sorted(v)) for v in inner if isinstance(v, dict)}
+            if k not in done and len(keys) == 1 and all(isinstance(v, dict) for v in inner) and 0 < len(next(iter(keys))) <= CRUSH["flatten"]:
+                break
+            done.add(k)
+        else:
+            return items
+        items = [{n: w for f, v in x.items() for n, w in ([(f"{f}.{i}", v[i]) for i in v] if f == k else [(f, v)])} for x in items]
+
+
+def discriminator(items: list[dict]) -> str | None:
+    """The text field of every item that has the most different values, if these are few: it tells kinds of items apart."""
+    low, high = CRUSH["buckets"]
+    best: tuple[int, str] | None = None
+    for k in sorted(set.intersection(*map(set, items))) if items else []:
+        if all(isinstance(x[k], str) for x in items):
+            n = len({x[k] for x in items})
+            if low <= n <= high and n / len(items) <= CRUSH["bucket_share"] and (best is None or n > best[0]):
+                best = n, k
+    return best[1] if best else None
+
+
+def table_of(items: list[dict]) -> str:
+    """Items as a table without loss; items of several kinds (few fields in most of them) as a table for each value of their discriminator."""
+    items = flattened(items)
+    freq = Counter(k for x in items for k in x)
+    core = sum(n >= CRUSH["core"] * len(items) for n in freq.values())
+    by = discriminator(items) if core < CRUSH["core"] * len(freq) else None
+    if by is None:
+        return csv_schema(items)
+    kinds = dict.fromkeys(x[by] for x in items)
+    return "\n".join(f"{by}={json.dumps(v, ensure_ascii=False)}:\n" + csv_schema([{k: w for k, w in x.items() if k != by} for x in items if x[by] == v]) for v in kinds)
+
+
+def minified(text: str) -> str:
+    """JSON without the white space between its tokens; the text itself if that isn't shorter. Numbers and keys keep their form."""
+    json.loads(text)
+    made = re.sub(r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+', lambda m: m[1] or "", text)
+    return made if len(made) < len(text) else text
+
+
+def _kind(x) -> str:
+    return "dict" if isinstance(x, dict) else "str" if isinstance(x, str) else "bool" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "list" if isinstance(x, list) else "null"
+
+
+def mixed_items(items: list, query: str = "") -> list[int]:
+    """Indices to keep of an array of several kinds: objects, texts and numbers are sampled among themselves, other items and small groups stay."""
+    if len(items) <= CRUSH["mixed"]:
+        return list(range(len(items)))
+    groups: dict[str, list[int]] = {}
+    for i, x in enumerate(items):
+        groups.setdefault(_kind(x), []).append(i)
+    keep: set[int] = set()
+    for kind, at in groups.items():
+        sampled = kind in ("dict", "str", "number") and len(at) >= CRUSH["min_items"]
+        keep |= {at[k] for k in kept_items([items[i] for i in at], query)} if sampled else set(at)
+    return sorted(keep)
+
+
 def markdown_kv(items: list[dict]) -> str:
     return "\n".join("- " + "; ".join(f"{k}: {v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}" for k, v in x.items()) for x in items)
 
@@ -270,37 +335,43 @@ def key_of(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
-def crush_value(value, query: str = "", depth: int = 0):
-    """A JSON value with its long arrays sampled, or laid out as a table where that alone saves enough."""
+def crush_value(value, query: str = "", depth: int = 0, side: dict[str, str] | None = None):
+    """A JSON value with its long arrays laid out as a table where that alone saves enough, however long, or else sampled.
+
+    side takes the JSON of every array that loses items, by the key that its marker names.
+    """
     if depth > 50:
         return value
     if isinstance(value, list):
         if len(value) >= CRUSH["min_items"]:
             whole = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
             if all(isinstance(x, dict) for x in value):
-                flat = csv_schema(value)
-                if len(flat) <= (1 - CRUSH["lossless"]) * len(whole) and len(value) <= CRUSH["max_items"]:
+                flat = table_of(value)
+                if len(flat) <= (1 - CRUSH["lossless"]) * len(whole):
                     return flat
-            keep = kept_items(value, query)
+            keep = kept_items(value, query) if len({_kind(x) for x in value}) == 1 else mixed_items(value, query)
             if len(keep) < len(value):
-                return [*(value[i] for i in keep), f"<<ccr:{key_of(whole)}>> {len(value) - len(keep)} items omitted"]
-        return [crush_value(x, query, depth + 1) for x in value]
+                key = key_of(whole)
+                if side is not None:
+                    side[key] = whole
+                return [*(value[i] for i in keep), f"<<ccr:{key}>> {len(value) - len(keep)} items omitted"]
+        return [crush_value(x, query, depth + 1, side) for x in value]
     if isinstance(value, dict):
-        return {k: crush_value(v, query, depth + 1) for k, v in value.items()}
+        return {k: crush_value(v, query, depth + 1, side) for k, v in value.items()}
     if isinstance(value, str) and value[:1] in "[{" and len(value) > 256:
         try:
-            return json.dumps(crush_value(json.loads(value), query, depth + 1), separators=(",", ":"), ensure_ascii=False)
+            return json.dumps(crush_value(json.loads(value), query, depth + 1, side), separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             return value
     return value
 
 
-def compress_json(text: str, query: str = "") -> tuple[str, str]:
+def compress_json(text: str, query: str = "", side: dict[str, str] | None = None) -> tuple[str, str]:
     try:
         value = json.loads(text)
     except ValueError:
         return text, "passthrough"
-    out = crush_value(value, query)
+    out = crush_value(value, query, 0, side)
     return out if isinstance(out, str) and not isinstance(value, str) else json.dumps(out, separators=(",", ":"), ensure_ascii=False), "crush"
 
 
@@ -432,7 +503,7 @@ KERNELS: dict[str, Callable[[str, str], tuple[str, str]]] = {
 }
 
 
-RESULT = StructType([StructField(n, t) for n, t in (("compressed", StringType()), ("strategy", StringType()), ("tokens_before", LongType()), ("tokens_after", LongType()), ("key", StringType()))])
+RESULT = StructType([StructField(n, t) for n, t in (("compressed", StringType()), ("strategy", StringType()), ("tokens_before", LongType()), ("tokens_after", LongType()), ("key", StringType()), ("inner", MapType(StringType(), StringType())))])
 _CODE, _DENSE = re.compile(T.CODE_MARK), re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), T.DENSE))
 
 
@@ -459,6 +530,7 @@ def _parses(text: str) -> bool:
 
 def compressed(payloads: DataFrame, text: str = "text", query: str | None = None) -> DataFrame:
     """Adds type, strategy, compressed, tokens before and after, and key: the payload's kind decides the compressor.
+    inner: the arrays inside a JSON payload that lost items, by the keys of their markers.
 
     What would not get shorter, or fails, stays as it is. The kind is found by Columns, so only the compressor's own work
     leaves the JVM.
@@ -469,18 +541,18 @@ def compressed(payloads: DataFrame, text: str = "text", query: str | None = None
     at = columns.index(text)
 
     def one(t: str | None, k: str, q: str | None) -> tuple:
-        before = estimate(t)
+        before, side = estimate(t), {}
         try:
-            out, how = KERNELS[k](t, q or "") if t else (t, "passthrough")
+            out, how = (t, "passthrough") if not t else compress_json(t, q or "", side) if k == "json_array" else KERNELS[k](t, q or "")
         except (ValueError, RecursionError, AssertionError):
             out, how = t, "passthrough:failed"
         after = estimate(out) if t else before
         if after >= before:
-            return t, how if how.startswith("passthrough") else "passthrough", before, before, None
-        return out, how, before, after, key_of(t)
+            return t, how if how.startswith("passthrough") else "passthrough", before, before, None, None
+        return out, how, before, after, key_of(t), list(side.items()) or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
         for batch in batches:
             rows = [one(t, k, q) for t, k, q in zip(batch.column(at).to_pylist(), batch.column(len(columns) - 1).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
@@ -490,8 +562,10 @@ def compressed(payloads: DataFrame, text: str = "text", query: str | None = None
 
 
 def store_of(compressed_: DataFrame, text: str = "text") -> DataFrame:
-    """(key, payload): originals of what was shortened, each once."""
-    return compressed_.where("key is not null").groupBy("key").agg(F.first(text).alias("payload"))
+    """(key, payload): originals of what was shortened and of the arrays inside that lost items, each once."""
+    whole = compressed_.where("key is not null").select("key", F.col(text).alias("payload"))
+    inner = compressed_.where("inner is not null").select(F.explode("inner").alias("key", "payload"))
+    return whole.unionAll(inner).groupBy("key").agg(F.first("payload").alias("payload"))
 
 
 def retrieved(rows: DataFrame, store: DataFrame) -> DataFrame:
@@ -519,9 +593,18 @@ def _round_trip(done: DataFrame) -> DataFrame:
     return back.groupBy("payload", (F.col("text") == F.col("original")).alias("same")).agg(F.count("*").alias("n"))
 
 
+def minify(text) -> Column:
+    """A Column's JSON without the white space between its tokens, in the JVM."""
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+', "$1")
+
+
 QUERIES = {
+    "json_minified": (
+        lambda s, d: table(s, d, "events").select("event_id", minify(F.concat(F.lit('[ {"id": '), F.col("event_id").cast("string"), F.lit(',\n\t"a b" : "x \\" y" } , '), F.col("user_id").cast("string"), F.lit(" ]"))).alias("text")),
+        """select event_id, '[{"id":' || event_id || ',"a b":"x \\" y"},' || user_id || ']' as text from events""",
+    ),
     "compress_payloads": (lambda s, d: compressed(_payloads(s, d)).groupBy("payload", "type").agg(F.count("*").alias("n"), F.sum("tokens_before").alias("before"), F.sum("tokens_after").alias("after")), None),
-    "compress_roundtrip": (lambda s, d: _round_trip(stored(compressed(_payloads(s, d)).select("payload", "text", "key"), "compressed")), None),
+    "compress_roundtrip": (lambda s, d: _round_trip(stored(compressed(_payloads(s, d)).select("payload", "text", "key", "inner"), "compressed")), None),
     "store_status": (lambda s, d: status(put(table(s, d, "events"), "user_id", "props", "ts"), "ts", "2024-01-31").groupBy("status").agg(F.count("*").alias("n")), "select case when epoch_us(timestamp '2024-01-31') - epoch_us(t) > 1800000000 then 'expired' else 'live' end as status, count(*) as n from (select user_id, max(ts) as t from events group by 1) group by 1"),
     "store_eviction": (lambda s, d: evict(table(s, d, "events").select("event_id", "ts"), "ts", "event_id", 500), "select event_id, ts from events order by ts desc, event_id limit 500"),
 }

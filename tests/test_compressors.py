@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import detect as D
 from tessera.functions import text as T
 from tessera.operators import compressors as C
 
@@ -86,3 +88,62 @@ def test_payload_never_grows_and_comes_back(spark):
     assert got["short"].compressed == "hello" and got["short"].key is None and got["none"].compressed is None
     back = C.retrieved(done.where(F.col("key").isNotNull()), C.store_of(done)).collect()
     assert back and all(r.text == r.payload for r in back)
+
+
+def test_tables_of_nested_items_and_of_several_kinds():
+    nested = [{"id": i, "at": {"x": i, "y": 2 * i}, "odd": {"k": i} if i % 2 else 3} for i in range(6)]
+    assert C.flattened(nested)[1] == {"id": 1, "at.x": 1, "at.y": 2, "odd": {"k": 1}}
+    assert C.table_of(nested[:2]).split("\n")[0] == "[2]{at.x:int,at.y:int,id:int,odd:json}"
+    kinds = [{"kind": "file", "path": f"p{i}", "size": i} if i % 2 else {"kind": "call", "tool": "t", "ms": i, "ok": True} for i in range(8)]
+    assert C.discriminator(kinds) == "kind"
+    assert C.table_of(kinds) == 'kind="call":\n[4]{ms:int,ok:bool,tool:string}\n0,true,t\n2,true,t\n4,true,t\n6,true,t\nkind="file":\n[4]{path:string,size:int}\np1,1\np3,3\np5,5\np7,7'
+    assert C.discriminator([{"kind": str(i)} for i in range(5)]) is None and C.flattened([]) == []
+
+
+def test_tables_lose_nothing_at_any_size():
+    items = [{"name": f"n{i}", "value": i, "flag": i % 3 == 0} for i in range(500)]
+    out, how = C.compress_json(json.dumps(items))
+    header, *rows = out.split("\n")
+    assert how == "crush" and header == "[500]{flag:bool,name:string,value:int}"
+    assert [dict(name=n, value=int(v), flag=f == "true") for f, n, v in (r.split(",") for r in rows)] == items
+
+
+def test_mixed_arrays_keep_small_groups_and_name_what_they_omit():
+    items = [*range(40), 9999, "error: disk", *["same"] * 20, None, True, [1], {"a": 1}]
+    keep = C.mixed_items(items)
+    kept = [items[i] for i in keep]
+    assert 9999 in kept and "error: disk" in kept and kept[-4:] == [None, True, [1], {"a": 1}] and len(kept) < 40
+    assert C.mixed_items(list(range(4)) + ["x"]) == [0, 1, 2, 3, 4]
+    side = {}
+    out = C.crush_value({"rows": items}, side=side)
+    key = out["rows"][-1].split("<<ccr:")[1].split(">>")[0]
+    assert json.loads(side[key]) == items
+
+
+def test_minified_json_keeps_its_tokens():
+    text = '{ "a b" : [1.50, "x \\" { y" ,\n null ] }'
+    assert C.minified(text) == '{"a b":[1.50,"x \\" { y",null]}' and C.minified("[1]") == "[1]"
+
+
+def test_arrays_inside_payloads_are_in_the_store(spark):
+    rows = [json.dumps([{"log": [f"line {i} {j} " + "x" * j for j in range(60)], "id": i} for i in range(3)])]
+    done = C.compressed(spark.createDataFrame([(r,) for r in rows], "text string")).cache()
+    store = {r.key: r.payload for r in C.store_of(done).collect()}
+    markers = re.findall(r"<<ccr:([0-9a-f]+)>>", done.first().compressed)
+    assert len(markers) == 3 and all(json.loads(store[m])[0].startswith("line") for m in markers)
+
+
+def test_contents_of_every_kind_are_told_apart(spark):
+    kinds = {
+        "json_array": '[{"id": 1, "name": "a"}, {"id": 2, "name": "b"}]',
+        "diff": "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-old\n+new\n",
+        "html": "<!DOCTYPE html><html><head><title>t</title></head><body><div>x</div><div>y</div></body></html>",
+        "search": "\n".join(f"src/a{i}.py:{i + 1}:def f{i}():" for i in range(6)),
+        "log": "\n".join(f"2024-01-0{i + 1} 10:00:00 ERROR something failed {i}" for i in range(6)),
+        "tabular": "a,b,c\n" + "\n".join(f"{i},{i + 1},{i + 2}" for i in range(8)),
+        "code": "import os\nfrom sys import path\n\n\nclass A:\n    def f(self):\n        return os.name\n\n\ndef g(x):\n    return x\n",
+        "text": "A plain sentence about nothing much. Another one follows it.",
+    }
+    frame = spark.createDataFrame(list(kinds.items()), "kind string, text string")
+    got = {r.kind: r.type for r in frame.select("kind", D.content_type("text")["type"].alias("type")).collect()}
+    assert got == {k: k for k in kinds}
