@@ -32,7 +32,7 @@ def features(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.length(t).alias("chars"), F.size(words).alias("words"), F.size(F.array_distinct(words)).alias("vocabulary"), T.count(t, r"\?").alias("questions"), T.count(t, r"(?m)^\s*([-*]|\d+\.)\s").alias("list_items"), F.floor(T.count(t, "```") / 2).cast("int").alias("code_blocks"), T.count(t, "[0-9]").alias("digits"), T.count(t, "[A-Z]").alias("capitals"))
 
 
-DENSE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2a6df}]"
+DENSE = T.DENSE
 
 
 def sql_tokens(x: str) -> str:
@@ -49,7 +49,15 @@ QUERIES = {
     "content_profile": (lambda s, d: profile(spread(table(s, d, "documents")), ["lang", "source"]).select("lang", "source", "n", "tokens"), f"select lang, source, count(*) as n, cast(sum({sql_tokens('text')}) as bigint) as tokens from documents group by 1, 2"),
     "page_types": (lambda s, d: table(s, d, "pages").select(D.content_type("html").alias("c")).groupBy("c.type").agg(F.count("*").alias("n"), F.round(F.min("c.confidence"), 6).alias("low")), "select 'html' as type, count(*) as n, round(min(least(1.0::double, 0.5::double + 0.3 * cast(regexp_matches(h, '(?i)<html[\\s>]') as integer) + 0.1 * cast(regexp_matches(h, '(?i)<head[\\s>]') as integer) + 0.1 * cast(regexp_matches(h, '(?i)<body[\\s>]') as integer) + least(0.3::double, 0.03::double * len(regexp_extract_all(h, '(?i)<(div|span|script|style|link|meta|nav|header|footer|aside|article|section|main)[\\s>]'))))), 6) as low from (select substr(html, 1, 3000) as h from pages)"),
     "html_waste": (lambda s, d: table(s, d, "pages").select("page_id", T.waste("html")["html"].alias("tokens")), "select page_id, case when length(w) = 0 then 0 else " + sql_tokens("w")[1:-1].split("then 0 else ", 1)[1].rsplit(" end", 1)[0] + " end as tokens from (select page_id, array_to_string(list_concat(regexp_extract_all(html, '<[^>]+>'), regexp_extract_all(html, '<!--[\\s\\S]*?-->')), '') as w from pages)"),
-    "whitespace_runs": (lambda s, d: table(s, d, "documents").select("doc_id", T.count(F.col("text"), T.BLANKS).alias("runs"), T.waste("text")["base64"].alias("base64")).where("runs > 0 or base64 > 0").select("doc_id", F.col("runs").cast("long").alias("runs")), "select doc_id, len(regexp_extract_all(text, '[ \\t]{4,}|\\n{3,}')) as runs from documents where len(regexp_extract_all(text, '[ \\t]{4,}|\\n{3,}')) > 0 or len(regexp_extract_all(text, '[A-Za-z0-9+/]{50,}={0,2}')) > 0"),
+    "whitespace_runs": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.expr("concat(text, repeat(' ', cast(doc_id % 7 as int)), 'x', repeat('\n', cast(doc_id % 5 as int)), if(doc_id % 3 = 0, concat(md5(text), md5(text)), ''))").alias("text"))
+        .select("doc_id", T.count(F.col("text"), T.BLANKS).cast("long").alias("runs"), T.waste("text")["base64"].alias("base64")).select("doc_id", "runs", (F.col("base64") > 0).alias("base64")).where("runs > 0 or base64"),
+        """
+        with t as (select doc_id, text || repeat(' ', doc_id % 7) || 'x' || repeat(chr(10), doc_id % 5) || case when doc_id % 3 = 0 then md5(text) || md5(text) else '' end as text from documents),
+        r as (select doc_id, len(regexp_extract_all(text, '[ \\t]{4,}|\\n{3,}')) as runs, len(regexp_extract_all(text, '[A-Za-z0-9+/]{50,}={0,2}')) > 0 as base64 from t)
+        select doc_id, runs, base64 from r where runs > 0 or base64
+        """,
+    ),
     "volatile_words": (lambda s, d: table(s, d, "events").select(F.explode(D.volatile_tokens(F.concat_ws(" ", F.md5(F.col("user_id").cast("string")), F.lit("at"), F.date_format("ts", "yyyy-MM-dd"), F.lit("done.")))).alias("v")).groupBy("v.label").agg(F.count("*").alias("n")), "select 'hex_hash' as label, count(*) as n from events union all select 'iso8601', count(*) from events"),
     "alignment_score": (lambda s, d: table(s, d, "conversations").where("role = 'system'").select("conv_id", D.alignment_score(F.size(D.volatile_tokens("text"))).alias("score")), "select conv_id, 100.0::double as score from conversations where role = 'system'"),
     "log_line_levels": (lambda s, d: table(s, d, "events").select(D.line_importance(F.concat(F.upper("event_type"), F.lit(" user="), F.col("user_id").cast("string")), "log")["category"].alias("category")).groupBy("category").agg(F.count("*").alias("n")), "select case when event_type = 'error' then 'error' end as category, count(*) as n from events group by 1"),

@@ -192,7 +192,19 @@ QUERIES = {
     "array_analysis": (lambda s, d: analyse(cells(s, d), "user_id", "idx"), None),
     "zscore_outliers": (lambda s, d: outliers(cells(s, d).where("field = 'value'"), "user_id", "idx"), "select user_id, event_id as idx, 'value' as field, value as x from (select *, avg(value) over w as m, stddev_samp(value) over w as sd from events window w as (partition by user_id)) where abs(value - m) > 2 * sd"),
     "structural_outliers": (lambda s, d: rare_fields(long_form(table(s, d, "events").withColumn("idx", F.col("event_id")).withColumn("failure", F.when(F.col("event_type") == "error", F.col("props"))), "user_id", "idx", {"value": "number", "failure": "string"}), "user_id", "idx"), "select user_id, event_id as idx from (select *, count(*) over w as n, count(*) filter (event_type = 'error') over w as k from events window w as (partition by user_id)) where n >= 5 and event_type = 'error' and k < 0.2 * n"),
-    "rare_status": (lambda s, d: rare_values(table(s, d, "part").groupBy("p_size", "p_brand").agg(F.count("*").alias("n")), "p_size", "p_brand", "n"), "select p_size, p_brand, n from (select *, sum(core) over (partition by p_size) as k from (select *, case when before < 0.8 * total then 1 else 0 end as core from (select *, sum(n) over (partition by p_size order by n desc, p_brand) - n as before, sum(n) over (partition by p_size) as total, count(*) over (partition by p_size) as kinds from (select p_size, p_brand, count(*) as n from part group by 1, 2)))) where kinds between 2 and 50 and k <= 5 and core = 0"),
+    "rare_status": (
+        lambda s, d: rare_values(
+            table(s, d, "lineitem").select("l_returnflag", F.expr("case when l_orderkey % 20 < 17 then 'ok' when l_orderkey % 20 < 19 then 'warn' else concat('e', cast(l_orderkey % 3 as string)) end").alias("status"))
+            .groupBy("l_returnflag", "status").agg(F.count("*").alias("n")), "l_returnflag", "status", "n"),
+        """
+        with c as (
+            select l_returnflag, case when l_orderkey % 20 < 17 then 'ok' when l_orderkey % 20 < 19 then 'warn' else 'e' || (l_orderkey % 3) end as status, count(*) as n from lineitem group by 1, 2
+        ), b as (
+            select *, sum(n) over (partition by l_returnflag order by n desc, status) - n as before, sum(n) over (partition by l_returnflag) as total, count(*) over (partition by l_returnflag) as kinds from c
+        ), k as (select *, case when before < 0.8 * total then 1 else 0 end as core from b)
+        select l_returnflag, status, n from (select *, sum(core) over (partition by l_returnflag) as k from k) where kinds between 2 and 50 and k <= 5 and core = 0
+        """,
+    ),
     "key_types": (lambda s, d: key_types(table(s, d, "events"), "props"), "select key, count(*) as n, 'int' as tag from (select unnest(json_keys(props)) as key from events) group by 1"),
     "string_entropy": (lambda s, d: table(s, d, "customer").select("c_custkey", F.round(entropy("c_name"), 6).alias("entropy")), "select c_custkey, round(case when count(*) < 2 then 0.0 else -sum(n / total * log2(n / total)) / log2(least(count(*), any_value(total))) end, 6) as entropy from (select c_custkey, ch, count(*) as n, sum(count(*)) over (partition by c_custkey) as total from (select c_custkey, unnest(string_split(c_name, '')) as ch from customer) group by 1, 2) group by 1"),
     "error_items": (lambda s, d: table(s, d, "events").select("event_id", is_error_item(F.to_json(F.struct("event_type", "props"))).alias("bad")).where("bad").select("event_id"), "select event_id from events where event_type = 'error'"),

@@ -137,7 +137,7 @@ QUERIES = {
     "tool_pairing": (lambda s, d: tool_pairs(table(s, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("call")), table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag = 'R'").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("call")), "session", "call"), "select o_custkey as session, o_orderkey as call, count(l_orderkey) as results from orders left join lineitem on o_orderkey = l_orderkey and l_returnflag = 'R' group by 1, 2"),
     "loop_detection": (lambda s, d: loops(table(s, d, "events"), "user_id", F.concat_ws("|", "event_type", "props"), F.col("event_type") == "error", F.floor("value").cast("long")), "select user_id, signature, n, case when errors * 2 >= n then 'error' else 'refetch' end as kind, case when errors * 2 >= n then s else s - m end as wasted from (select user_id, concat_ws('|', event_type, props) as signature, count(*) as n, count(*) filter (event_type = 'error') as errors, cast(sum(cast(floor(value) as bigint)) as bigint) as s, max(cast(floor(value) as bigint)) as m from events group by 1, 2) where n >= 3"),
     "retry_pairs": (lambda s, d: retries(table(s, d, "events").where("event_type = 'error'"), table(s, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "props"), "select a.user_id, a.ts as failed_at, min(b.ts) as done_at from events a join events b on a.user_id = b.user_id and b.ts > a.ts and levenshtein(a.props, b.props) <= greatest(2, floor(greatest(length(a.props), length(b.props)) / 3)) where a.event_type = 'error' and b.event_type = 'purchase' group by 1, 2"),
-    "no_contradictions": (lambda s, d: without_contradictions(table(s, d, "lineitem").select((F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b")).distinct()), "with p as (select distinct l_partkey % 40 as a, l_suppkey % 40 as b from lineitem) select a, b from p where not exists (select 1 from p q where q.a = p.b and q.b = p.a)"),
+    "no_contradictions": (lambda s, d: without_contradictions(table(s, d, "lineitem").select((F.col("l_partkey") % 900).alias("a"), (F.col("l_suppkey") % 900).alias("b")).distinct()), "with p as (select distinct l_partkey % 900 as a, l_suppkey % 900 as b from lineitem) select a, b from p where not exists (select 1 from p q where q.a = p.b and q.b = p.a)"),
     "last_user_text": (lambda s, d: last_user_text(table(s, d, "conversations")), "select conv_id, arg_max(text, turn) as query from conversations where role = 'user' group by 1"),
     "live_zone": (lambda s, d: live_zone(table(s, d, "conversations")).select("conv_id", "turn", "role"), "select c.conv_id, turn, role from conversations c join (select conv_id, max(turn) as start from conversations where role = 'user' group by 1) u on c.conv_id = u.conv_id and turn >= start"),
     "turn_kinds": (lambda s, d: turn_kind(table(s, d, "conversations")), "select conv_id, case when arg_max(role, turn) = 'user' then 'new_ask' else 'continuation' end as kind from conversations group by 1"),
