@@ -14,6 +14,32 @@ MIN_ITEMS, SIGMA = 5, 2.0
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)"
 
 
+def information(items: DataFrame, group: str, key: str, item: str) -> DataFrame:
+    """(group, key, score): how much each of a group's JSON objects tells, 0 to 1: 0.4 rarity + 0.3 length + 0.3 structure.
+
+    Rarity is the mean of 1 - frequency over an object's values, length its text's place between the group's shortest
+    and longest, structure half the share of the group's rare fields (below 20 %) that it has and half the share of the
+    common ones (80 %) that it lacks. One object alone gets 0.5 of each; an empty one, null or no object, 0, and only
+    objects count in a group. (group, key) names an item. Counts are aggregated before they are joined to the cells.
+    """
+    i = items.select(group, key, F.from_json(item, "map<string,string>").alias("_m"), F.length(item).alias("_l"), F.to_json(F.struct(F.col(group).alias("g"))).alias("_g"))
+    valid = i.where("_m is not null")
+    cells = valid.select("_g", group, key, F.explode("_m").alias("_f", "_v")).withColumn("_v", F.coalesce("_v", F.lit("null")))
+    n = valid.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_l").alias("_lo"), F.max("_l").alias("_hi"))
+    values = cells.groupBy("_g", "_f", "_v").agg(F.count("*").alias("_c"))
+    fields = values.groupBy("_g", "_f").agg(F.sum("_c").alias("_fc")).join(n.select("_g", "_n"), "_g")
+    fields = fields.select("_g", "_f", "_n", (F.col("_fc") < F.col("_n") * 0.2).cast("int").alias("_rare"), (F.col("_fc") >= F.col("_n") * 0.8).cast("int").alias("_common"))
+    of_group = n.join(fields.groupBy("_g").agg(F.sum("_rare").alias("_rares"), F.sum("_common").alias("_commons")), "_g", "left")
+    told = cells.join(values.join(fields, ["_g", "_f"]), ["_g", "_f", "_v"])
+    own = told.groupBy("_g", key).agg(F.avg(1 - F.col("_c") / F.col("_n")).alias("_u"), F.sum("_rare").alias("_has"), F.sum("_common").alias("_got"))
+    whole = i.join(of_group, "_g", "left").join(own.withColumnsRenamed({"_g": "_h", key: "_k"}), (F.col("_g") == F.col("_h")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    half = lambda part, of: F.coalesce(0.5 * F.try_divide(part, of), F.lit(0.0))
+    length = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(F.try_divide(F.col("_l") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
+    structure = half(F.col("_has"), F.col("_rares")) + half(F.col("_commons") - F.col("_got"), F.col("_commons"))
+    score = F.when(F.col("_u").isNull(), 0.0).when(F.col("_n") < 2, 0.5).otherwise(0.4 * F.col("_u") + 0.3 * length + 0.3 * structure)
+    return whole.select(group, key, score.alias("score"))
+
+
 def long_form(rows: DataFrame, group: str, idx: str, fields: dict[str, str]) -> DataFrame:
     """One row for each item and field: (group, idx, field, kind, s, x). fields: name -> 'number' or 'string'."""
     cells = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.col(n).cast("string").alias("s"), (F.col(n).cast("double") if k == "number" else F.lit(None).cast("double")).alias("x")) for n, k in fields.items()])
@@ -181,6 +207,24 @@ _SCORE = "case when base = 0 or coalesce(sequential, false) then 0.0 else least(
 _BASE = "case when kind <> 'number' then 0.0 when low >= 0 and high <= 1 then 0.4 when low >= -1 and high <= 1 then 0.35 when low >= 0 and high <= 10 then 0.3 when low >= 0 and high <= 100 then 0.25 else 0.0 end"
 
 QUERIES = {
+    "information_score": (
+        lambda s, d: information(table(s, d, "events").select("user_id", "event_id", F.concat(
+            F.lit('{"t":"'), "event_type", F.when(F.col("event_id") % 7 != 0, F.concat(F.lit('","v":"'), F.floor(F.col("value") / 10).cast("string"))).otherwise(""),
+            F.when(F.col("event_id") % 11 == 0, '","e":"yes').otherwise(""), F.lit('"}')).alias("item")), "user_id", "event_id", "item").withColumn("score", F.round("score", 6)),
+        """
+        with i as (
+            select user_id, event_id, event_type as t, case when event_id % 7 <> 0 then cast(cast(floor(value / 10) as bigint) as varchar) end as v, case when event_id % 11 = 0 then 'yes' end as e from events
+        ), l as (select *, 8 + length(t) + coalesce(7 + length(v), 0) + coalesce(7 + length(e), 0) as l from i),
+        n as (select user_id, count(*) as n, min(l) as lo, max(l) as hi from l group by 1),
+        c as (select user_id, event_id, 't' as f, t as v from i union all select user_id, event_id, 'v', v from i where v is not null union all select user_id, event_id, 'e', e from i where e is not null),
+        x as (select *, count(*) over (partition by user_id, f, v) as c, count(*) over (partition by user_id, f) as fc from c),
+        f as (select user_id, count(distinct f) filter (fc < n * 0.2) as rares, count(distinct f) filter (fc >= n * 0.8) as commons from x join n using (user_id) group by 1),
+        o as (select user_id, event_id, avg(1 - c / n) as u, count(*) filter (fc < n * 0.2) as has, count(*) filter (fc >= n * 0.8) as got from x join n using (user_id) group by 1, 2)
+        select user_id, event_id, round(case when n < 2 then 0.5 else 0.4::double * u + 0.3::double * case when hi = lo then 0.5 else (l - lo) / (hi - lo) end
+            + 0.3::double * (coalesce(0.5::double * has / nullif(rares, 0), 0) + coalesce(0.5::double * (commons - got) / nullif(commons, 0), 0)) end, 6) as score
+        from l join n using (user_id) join f using (user_id) join o using (user_id, event_id)
+        """,
+    ),
     "field_stats": (lambda s, d: field_stats(cells(s, d), "user_id").select("user_id", "field", "n", "kinds", F.round("unique_ratio", 6).alias("unique_ratio"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("mean", 8).alias("mean"), "constant"),
         f"select user_id, field, n, kinds, round(kinds / n, 6) as unique_ratio, round(low, 6) as low, round(high, 6) as high, round(mean, 8) as mean, kinds = 1 as constant from {_STATS}"),
     "basic_stats": (lambda s, d: basic_stats(table(s, d, "events"), "event_type", "value"), "select event_type, count(value) as n, round(avg(value), 6) as mean, round(coalesce(var_samp(value), 0), 4) as var, round(coalesce(stddev_samp(value), 0), 6) as sd, round(median(value), 6) as median from events group by 1"),
