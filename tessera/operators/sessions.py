@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.detect import is_rag
-from tessera.functions.text import short_hash, tokens_simple
+from tessera.functions.text import content_key, short_hash, tokens_simple
 from tessera.sources.tables import table
 
 # Smallest re-read, in tokens; largest gap of polling, in messages; fewest calls of a loop.
 REREAD_TOKENS, ADJACENT_GAP, MIN_LOOP = 50, 3, 3
+# Smallest read that is replaced, in bytes; what replaces it.
+REWRITE_BYTES = 512
+NOTES = {
+    "stale": "[Read content stale: {file} was modified after this read — re-read the file for current content. Retrieve original: hash={key}]",
+    "superseded": "[Read content superseded: {file} was re-read later — re-read the file if needed. Retrieve original: hash={key}]",
+}
 
 
 def blocks(messages: DataFrame) -> DataFrame:
@@ -47,6 +53,21 @@ def read_lifecycle(ops: DataFrame, session: str, file: str, order: list, is_read
     return out.withColumn("state", F.when(F.col("_last") > F.col("_i"), "stale").when(F.col("_cov"), "superseded").otherwise("fresh"))
 
 
+def rewritten(reads: DataFrame, text: str, file: str, state: str, superseded: bool = False, frozen: Column | None = None, least_bytes: int = REWRITE_BYTES) -> DataFrame:
+    """Reads with the text of stale ones (and superseded ones, if asked for) replaced by a note that names the stored original.
+
+    `key` is the original's key, null where the text stays: for fresh reads, short texts, nulls and what is frozen in a
+    provider's prefix cache. The originals to store are (key, text) of the given reads. A read of no file has one unknown.
+    """
+    swap = (F.octet_length(text) >= least_bytes) & F.col(state).isin("stale", *["superseded"] * superseded)
+    if frozen is not None:
+        swap = swap & ~F.coalesce(frozen, F.lit(False))
+    name = F.when(F.coalesce(F.col(file), F.lit("")) == "", "unknown").otherwise(F.col(file))
+    note = F.element_at(F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair]), F.col(state))
+    told = F.replace(F.replace(note, F.lit("{key}"), content_key(text)), F.lit("{file}"), name)
+    return reads.withColumn("key", F.when(swap, content_key(text))).withColumn(text, F.when(F.col("key").isNotNull(), told).otherwise(F.col(text)))
+
+
 def tool_pairs(calls: DataFrame, results: DataFrame, session: str, call: str) -> DataFrame:
     """Each tool call with the number of its results, 0 for one that has none."""
     n = results.groupBy(session, call).agg(F.count("*").alias("results"))
@@ -130,10 +151,31 @@ def _ops(s, d):
     return e.withColumn("file", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string"))).withColumn("lo", F.col("event_id") % 50).withColumn("hi", F.col("event_id") % 50 + 20 + F.col("event_id") % 13)
 
 
+def _reads(s, d):
+    return _ops(s, d).withColumn("text", F.repeat(F.concat(F.lit("größe "), "event_type"), (F.col("event_id") % 60).cast("int")))
+
+
+_STATES = f"""
+with o as (select *, row_number() over (partition by session, file order by ts, event_id) as i from {_EV}),
+e as (select session, file, max(i) filter (event_type = 'error') as last from o group by 1, 2)
+select event_id, case when last > i then 'stale' when exists (select 1 from o b where b.event_type <> 'error' and b.session = o.session and b.file = o.file and b.i > o.i and b.lo <= o.lo and b.hi >= o.hi) then 'superseded' else 'fresh' end as state from o join e using (session, file) where event_type <> 'error'
+"""
+
 QUERIES = {
     "block_breakdown": (lambda s, d: breakdown(blocks(table(s, d, "conversations"))), f"select conv_id, cast(coalesce(sum(t) filter (role = 'system'), 0) as bigint) as system, cast(coalesce(sum(t) filter (role = 'user'), 0) as bigint) as \"user\", cast(coalesce(sum(t) filter (role = 'assistant'), 0) as bigint) as assistant, cast(sum(t) as bigint) as total from (select *, {_TOK} as t from {_M}) group by 1"),
     "reread_waste": (lambda s, d: rereads(table(s, d, "events").withColumn("content", F.concat_ws("|", "event_type", "props")).withColumn("tokens", F.floor("value").cast("long")), "user_id", ["ts", "event_id"], "content", "tokens"), "select user_id, count(*) as rereads, cast(sum(tokens) as bigint) as wasted from (select *, i - lag(i) over (partition by user_id, content order by i) as gap from (select * from (select user_id, concat_ws('|', event_type, props) as content, cast(floor(value) as bigint) as tokens, row_number() over (partition by user_id order by ts, event_id) as i from events) where tokens >= 50)) where gap > 3 group by 1"),
-    "read_lifecycle": (lambda s, d: read_lifecycle(_ops(s, d), "user_id", "file", ["ts", "event_id"], F.col("event_type") != "error", F.col("event_type") == "error", "lo", "hi").select("event_id", "state"), f"with o as (select *, row_number() over (partition by session, file order by ts, event_id) as i from {_EV}), e as (select session, file, max(i) filter (event_type = 'error') as last from o group by 1, 2) select event_id, case when last > i then 'stale' when exists (select 1 from o b where b.event_type <> 'error' and b.session = o.session and b.file = o.file and b.i > o.i and b.lo <= o.lo and b.hi >= o.hi) then 'superseded' else 'fresh' end as state from o join e using (session, file) where event_type <> 'error'"),
+    "read_lifecycle": (lambda s, d: read_lifecycle(_ops(s, d), "user_id", "file", ["ts", "event_id"], F.col("event_type") != "error", F.col("event_type") == "error", "lo", "hi").select("event_id", "state"), _STATES),
+    "read_rewrite": (
+        lambda s, d: rewritten(read_lifecycle(_reads(s, d), "user_id", "file", ["ts", "event_id"], F.col("event_type") != "error", F.col("event_type") == "error", "lo", "hi"), "text", "file", "state", superseded=True, frozen=F.col("event_id") < 100).select("event_id", "text", "key"),
+        f"""
+        with t as (select event_id, 'f' || (event_id % 7) as file, repeat('größe ' || event_type, cast(event_id % 60 as int)) as text from events),
+        r as (select *, strlen(text) >= 512 and state <> 'fresh' and event_id >= 100 as swap, substring(sha256(text), 1, 24) as h from t join ({_STATES}) using (event_id))
+        select event_id, case when swap then h end as key, case when not swap then text
+            when state = 'stale' then '[Read content stale: ' || file || ' was modified after this read — re-read the file for current content. Retrieve original: hash=' || h || ']'
+            else '[Read content superseded: ' || file || ' was re-read later — re-read the file if needed. Retrieve original: hash=' || h || ']' end as text
+        from r
+        """,
+    ),
     "tool_pairing": (lambda s, d: tool_pairs(table(s, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("call")), table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag = 'R'").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("call")), "session", "call"), "select o_custkey as session, o_orderkey as call, count(l_orderkey) as results from orders left join lineitem on o_orderkey = l_orderkey and l_returnflag = 'R' group by 1, 2"),
     "loop_detection": (lambda s, d: loops(table(s, d, "events"), "user_id", F.concat_ws("|", "event_type", "props"), F.col("event_type") == "error", F.floor("value").cast("long")), "select user_id, signature, n, case when errors * 2 >= n then 'error' else 'refetch' end as kind, case when errors * 2 >= n then s else s - m end as wasted from (select user_id, concat_ws('|', event_type, props) as signature, count(*) as n, count(*) filter (event_type = 'error') as errors, cast(sum(cast(floor(value) as bigint)) as bigint) as s, max(cast(floor(value) as bigint)) as m from events group by 1, 2) where n >= 3"),
     "retry_pairs": (lambda s, d: retries(table(s, d, "events").where("event_type = 'error'"), table(s, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "props"), "select a.user_id, a.ts as failed_at, min(b.ts) as done_at from events a join events b on a.user_id = b.user_id and b.ts > a.ts and levenshtein(a.props, b.props) <= greatest(2, floor(greatest(length(a.props), length(b.props)) / 3)) where a.event_type = 'error' and b.event_type = 'purchase' group by 1, 2"),
