@@ -6,13 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.detect import query_alpha
 from tessera.functions.text import bm25_terms
+from tessera.operators.vectors import matcher, unpacked
 from tessera.sources.tables import spread, table, written
 
 # Saturation, length weight, raw score that counts as 1, bonus and length of long matches.
 K1, B, TOP_RAW, BONUS, LONG = 1.5, 0.75, 10.0, 0.3, 8
+#: Bytes of query vectors that go to a task at once.
+BLOCK = 64_000_000
 
 
 def bm25(items: DataFrame, item: str, text: str, queries: DataFrame, query: str, query_text: str) -> DataFrame:
@@ -48,21 +53,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 10_000, other: bool = False) -> DataFrame:
+def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 40_000, other: bool = False) -> DataFrame:
     """The k items of the highest cosine to each query, exactly; with `other`, an item of the query's own key is none.
 
-    The queries go to every task in blocks of about max_queries, dealt by their key; each block is one pass over the
-    items, and where there are several its result is written to the shared folder before the next begins.
+    The queries go to every task as matrices, in blocks of about max_queries or 64 MB, dealt by their key; each block is
+    one pass over the items, and where there are several its result is written to the shared folder before the next
+    begins. A task multiplies matrices and hands on its k best of each query only (see `vectors`).
     """
-    given = queries.select(query, F.col(query_vector).alias("_q"))
-    blocks = -(-given.count() // max_queries)
+    spark, given, rows = items.sparkSession, queries.select(query, F.col(query_vector).alias("_q")), items.select(item, F.col(vector).alias("_v"))
+    if other:
+        given, rows = given.where(F.col(query).isNotNull()), rows.where(F.col(item).isNotNull())
+    size = given.agg(F.count("*").alias("n"), F.max(F.size("_q")).alias("d")).first()
+    blocks = max(1, -(-size["n"] // max_queries), -(-size["n"] * 8 * max(size["d"] or 1, 1) // BLOCK))
+    rows, most = spread(rows), 4 * spark.sparkContext.defaultParallelism
+    # each task hands on k rows a query
+    rows = (rows.coalesce(most) if rows.rdd.getNumPartitions() > most else rows).sortWithinPartitions(item)
+    shape = StructType([given.schema[query], items.schema[item], StructField("score", DoubleType())])
 
     def block(held: DataFrame) -> DataFrame:
-        pairs = items.select(item, F.col(vector).alias("_v")).join(F.broadcast(held), F.col(query) != F.col(item) if other else F.lit(True))
-        scored = pairs.select(query, item, cosine(F.col("_q"), F.col("_v")).alias("score"))
+        got = held.toArrow()
+        asked = got.column(0).combine_chunks(), unpacked(got.column(1))
+        sent, arrow = spark.sparkContext.broadcast(asked), to_arrow_schema(shape)
+        scored = rows.mapInArrow(lambda batches: matcher(sent.value, k, least, other, arrow)(batches), shape)
         return top(scored if least is None else scored.where(F.col("score") >= least), query, "score", item, k)
 
-    if blocks <= 1:
+    if blocks == 1:
         return block(given)
     return reduce(DataFrame.unionAll, [written(block(given.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)), "nearest") for i in range(blocks)])
 
