@@ -85,3 +85,20 @@ def test_scaled_copies_tie_as_in_sql(spark, tmp_path, name):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     found = query(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(f"select {', '.join(found.columns)} from ({sql})").fetchall(), key=str)
+
+
+def test_cache_of_copies(spark):
+    """A third of all entries are one vector, and keys repeat: each query still gets the first entry of another key."""
+    pick = random.Random(4)
+    rows = [(i // 2, [1.0, 2.0, 3.0] if i % 3 == 0 else [pick.uniform(-1, 1) for _ in range(3)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, v array<float>").repartition(4)
+    rows = [(r.k, r.v) for r in df.collect()]
+    asked = [(k, [5.0, 1.0 * k, 1.0]) for k in range(0, 450, 9)] + [(0, [2.0, 4.0, 6.0]), (1000, [2.0, 4.0, 6.0]), (1001, None)]
+    held = spark.createDataFrame(asked, "q long, w array<float>")
+    got = nearest(df, "k", "v", held.where("w is not null"), "q", "w", 1, 0.5, 30, True).select("q", "k", "score").collect()
+    want = {}
+    for q, k, s, _ in plain(rows, [(q, [float(x) for x in w]) for q, w in asked if w], 1, 0.5, True):
+        want[q] = min(want.get(q, (2.0, k)), (-s, k))
+    assert {r.q: (-r.score, r.k) for r in got} == want
+    hits = {r.q: r.k for r in cache_hits(df, "k", "v", held, "q", "w", 0.5, True).collect()}
+    assert hits == {q: want[q][1] if q in want else None for q, _ in asked} and hits[1000] == 0 and hits[1001] is None
