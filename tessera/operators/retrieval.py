@@ -53,7 +53,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 40_000, other: bool = False) -> DataFrame:
+def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, least: float | None = None, max_queries: int = 160_000, other: bool = False) -> DataFrame:
     """The k items of the highest cosine to each query, exactly; with `other`, an item of the query's own key is none.
 
     The queries go to every task as matrices, in blocks of about max_queries or 64 MB, dealt by their key; each block is
@@ -65,9 +65,10 @@ def nearest(items: DataFrame, item: str, vector: str, queries: DataFrame, query:
         given, rows = given.where(F.col(query).isNotNull()), rows.where(F.col(item).isNotNull())
     size = given.agg(F.count("*").alias("n"), F.max(F.size("_q")).alias("d")).first()
     blocks = max(1, -(-size["n"] // max_queries), -(-size["n"] * 8 * max(size["d"] or 1, 1) // BLOCK))
-    rows, most = spread(rows), 4 * spark.sparkContext.defaultParallelism
-    # each task hands on k rows a query
-    rows = (rows.coalesce(most) if rows.rdd.getNumPartitions() > most else rows).sortWithinPartitions(item)
+    rows, cores = spread(rows), spark.sparkContext.defaultParallelism
+    tasks = rows.rdd.getNumPartitions()
+    # each task hands on k rows a query, and a last wave of few tasks leaves cores idle
+    rows = (rows.coalesce(4 * cores) if tasks > 4 * cores else rows.repartition(2 * cores) if -(-tasks // cores) * cores > 1.1 * tasks else rows).sortWithinPartitions(item)
     shape = StructType([given.schema[query], items.schema[item], StructField("score", DoubleType())])
 
     def block(held: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Cells of a block of scores, pairs that are scored exactly at once, vectors whose copies a task counts.
 CELLS, PAIRS, SEEN = 4_000_000, 50_000, 200_000
+#: Queries and items of a tile of products (1 MB), pairs found after which they are scored exactly.
+TALL, WIDE, FOUND = 512, 512, 200_000
 #: Squared norms outside of this range are scored exactly only.
 PLAIN = 1e-140, 1e140
 
@@ -160,29 +162,94 @@ def meet(asking: Side, items: Side, best: Best, never: np.ndarray, first: int, l
     """Adds the items, numbered from first, to the best of the queries, without the pairs in never.
 
     Products of unit vectors in single precision are within `off` of the cosine, so what may be among the k best is
-    known from them, and only that is scored in double precision.
+    known from them, and only that is scored in double precision. Products are made in tiles that stay in a core's
+    cache, and of a tile only the queries are looked at whose highest product reaches their bar.
     """
     m, d = items.rows.shape
     off = (d + 16) * 2.0**-24
-    step = max(1, CELLS // m)
-    for begin in range(0, len(asking.rows), step):
-        end = min(begin + step, len(asking.rows))
-        score = asking.unit[begin:end] @ items.unit.T
-        out = never[(never[:, 0] >= begin) & (never[:, 0] < end)]
-        rows = asking.odd[(asking.odd >= begin) & (asking.odd < end)] - begin
-        score[rows], score[:, items.odd], score[out[:, 0] - begin, out[:, 1]] = -np.inf, -np.inf, -np.inf
-        full = best.number[begin:end, -1] >= 0
-        bar = np.where(full, best.score[begin:end, -1] - off, -2.0)
-        if m >= best.k and not full.all():
-            bar[~full] = np.maximum(-2.0, np.partition(score[~full], m - best.k, axis=1)[:, m - best.k].astype("float64") - 2 * off)
-        if least is not None:
-            bar = np.maximum(bar, least - off)
-        # not-a-number is above all, so an infinite bar is met by what isn't plain only
-        score[rows], score[:, items.odd] = np.inf, np.inf
-        score[out[:, 0] - begin, out[:, 1]] = -np.inf
-        q, i = cells(score >= np.nextafter(bar.astype("float32"), np.float32(-4))[:, None])
-        if len(q):
-            best.add(q + begin, cosines(asking, q + begin, items, i), i + first)
+    bar = bars(asking, items, best, never, least, off)
+    low = below(bar)
+    across = -(-m // WIDE)
+    tile = never[:, 0] // TALL * across + never[:, 1] // WIDE
+    never = never[np.argsort(tile, kind="stable")]
+    edges = np.searchsorted(np.sort(tile), np.arange(-(-len(bar) // TALL) * across + 1))
+    cache, found, n = np.empty(TALL * WIDE, "float32"), [], 0
+    for t, begin in enumerate(range(0, len(bar), TALL)):
+        unit = asking.unit[begin : begin + TALL].T
+        mine, odd = low[begin : begin + TALL], within(asking.odd, begin, begin + TALL)
+        for u, at in enumerate(range(0, m, WIDE)):
+            some = items.unit[at : at + WIDE]
+            score = np.matmul(some, unit, out=cache[: len(some) * len(mine)].reshape(len(some), len(mine)))
+            strange = within(items.odd, at, at + WIDE)
+            # not-a-number is above all, so an infinite bar is met by what isn't plain only
+            if len(odd):
+                score[:, odd] = np.inf
+            if len(strange):
+                score[strange] = np.inf
+            out = never[edges[t * across + u] : edges[t * across + u + 1]]
+            if len(out):
+                score[out[:, 1] - at, out[:, 0] - begin] = -np.inf
+            most = score.max(axis=0)
+            hit = np.flatnonzero(most >= mine)
+            if not len(hit):
+                continue
+            if 3 * len(hit) > len(mine):
+                hit = np.arange(len(mine))
+            seen = score if len(hit) == len(mine) else score.take(hit, axis=1)
+            i, q = cells(seen >= mine[hit])
+            found.append((hit[q] + begin, i + at, seen[i, q]))
+            n += len(q)
+            if best.k == 1 and not len(odd) and not len(strange):
+                mine[hit] = np.maximum(mine[hit], below(most[hit].astype("float64") - 2 * off))
+        if n and (n >= FOUND or begin + TALL >= len(bar)):
+            q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            if best.k > 1:
+                keep = ahead(q, s, best.k, 2 * off)
+                q, i = q[keep], i[keep]
+            best.add(q, cosines(asking, q, items, i), i + first)
+            found, n = [], 0
+
+
+def bars(asking: Side, items: Side, best: Best, never: np.ndarray, least: float | None, off: float) -> np.ndarray:
+    """What a product must reach at least; where a query has less than k items yet, by the first of these items."""
+    bar = np.where(best.number[:, -1] >= 0, best.score[:, -1] - off, -2.0)
+    new = np.flatnonzero(best.number[:, -1] < 0)
+    first = items.unit[: max(WIDE, 256 * best.k)]
+    if len(first) >= best.k:
+        out, strange = never[never[:, 1] < len(first)], within(items.odd, 0, len(first))
+        step = max(1, CELLS // len(first))
+        for begin in range(0, len(new), step):
+            some = new[begin : begin + step]
+            score = asking.unit[some] @ first.T
+            score[:, strange] = -np.inf
+            no = out[np.isin(out[:, 0], some)]
+            score[np.searchsorted(some, no[:, 0]), no[:, 1]] = -np.inf
+            score[np.isin(some, asking.odd)] = -np.inf
+            bar[some] = np.maximum(-2.0, (score.max(axis=1) if best.k == 1 else np.partition(score, -best.k, axis=1)[:, -best.k]).astype("float64") - 2 * off)
+    return bar if least is None else np.maximum(bar, least - off)
+
+
+def ahead(query: np.ndarray, score: np.ndarray, k: int, off: float) -> np.ndarray:
+    """Which of these pairs aren't more than off below k others of their query; infinite scores are not known yet, so they stay and count for nothing."""
+    keep = np.ones(len(query), bool)
+    known = np.flatnonzero(np.isfinite(score))
+    known = known[np.lexsort((-score[known], query[known]))]
+    q, s = query[known], score[known].astype("float64")
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))[: len(q)]
+    size = np.diff(np.append(first, len(q)))
+    least = np.where(size >= k, s[np.minimum(first + k, len(s)) - 1], -np.inf) - off
+    keep[known] = s >= np.repeat(least, size)
+    return keep
+
+
+def below(bar: np.ndarray) -> np.ndarray:
+    """The bars in single precision, none rounded up."""
+    return np.nextafter(bar.astype("float32"), np.float32(-4))
+
+
+def within(places: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Those of the rising places that are from begin up to end, counted from begin."""
+    return places[slice(*np.searchsorted(places, (begin, end)))] - begin
 
 
 def cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

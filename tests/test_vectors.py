@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import vectors
 from tessera.operators.retrieval import cache_hits, nearest
 from tessera.plans.queries import catalogue
 
@@ -102,3 +105,45 @@ def test_cache_of_copies(spark):
     assert {r.q: (-r.score, r.k) for r in got} == want
     hits = {r.q: r.k for r in cache_hits(df, "k", "v", held, "q", "w", 0.5, True).collect()}
     assert hits == {q: want[q][1] if q in want else None for q, _ in asked} and hits[1000] == 0 and hits[1001] is None
+
+
+def side(rows):
+    return vectors.Side((np.full(len(rows), rows.shape[1]), np.arange(len(rows)) * rows.shape[1], rows.reshape(-1)), rows.shape[1])
+
+
+def test_products_are_made_in_tiles_that_stay_in_cache():
+    pick = np.random.default_rng(5)
+    asking, items, best = side(pick.standard_normal((2_000, 16))), side(pick.standard_normal((4_000, 16))), vectors.Best(2_000, 1)
+    none = np.zeros((0, 2), "int64")
+    vectors.meet(asking, items, best, none, 0, None)
+    tracemalloc.start()
+    vectors.meet(asking, items, best, none, 4_000, None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6_000_000
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_many_tiles_give_what_one_sort_gives(k):
+    pick = np.random.default_rng(6)
+    pool = pick.standard_normal((500, 6))
+    q, x = pool[pick.integers(0, 500, 1_100)], np.concatenate([pool[pick.integers(0, 500, 900)] * pick.choice([1.0, 3.0, 0.1], (900, 1)), pick.standard_normal((900, 6))])
+    q[[3, 600]], x[[0, 700, 1_750]] = [[np.nan] + [1.0] * 5, [1e-160] * 6], [[0.0] * 6, [np.nan] + [1.0] * 5, [1e170] * 6]
+    never = np.column_stack([np.arange(1_100), pick.integers(0, 1_800, 1_100)])
+    asking, items, best = side(q), side(x), vectors.Best(len(q), k)
+    for at in range(0, 1_800, 1_300):
+        mine = never[(never[:, 1] >= at) & (never[:, 1] < at + 1_300)] - [0, at]
+        vectors.meet(asking, side(x[at : at + 1_300]), best, mine, at, 0.2)
+    i, j = (a.reshape(-1) for a in np.indices((len(q), len(x))))
+    score = vectors.cosines(asking, i, items, j).reshape(len(q), len(x))
+    score[never[:, 0], never[:, 1]] = -np.inf
+    for row in range(len(q)):
+        want = [(s, n) for s, n in sorted(zip(-score[row], range(len(x)), strict=True))[:k] if -s >= 0.2]
+        assert [(-s, n) for s, n in zip(best.score[row], best.number[row], strict=True) if n >= 0 and s >= 0.2] == want
+
+
+def test_tasks_fill_their_last_wave(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame(table(240, 2, int), "k long, v array<double>").repartition(cores + 1)
+    found = nearest(df, "k", "v", df.select(F.col("k").alias("q"), F.col("v").alias("w")), "q", "w", 3)
+    assert f"RoundRobinPartitioning({2 * cores})" in found._jdf.queryExecution().toString()
